@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import exact_dedup
+from sparkloom.llm import exact_dedup, packing
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
 }
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
