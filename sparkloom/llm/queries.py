@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import exact_dedup, packing
+from sparkloom.llm import decontamination, exact_dedup, packing
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op9_benchmark_decontamination": decontamination.op9_benchmark_decontamination,
 }
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op9_benchmark_decontamination": decontamination.SQL,
 }

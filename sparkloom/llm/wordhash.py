@@ -94,4 +94,4 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     total = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * up[: len(h)], out=total[1:])
     n = len(h) - k + 1
-    return mix((total[k:] - total[:n]) * down[:n] + np.uint64(k) * _K)
+    return mix((total[k:] - total[:n]) * down[:n] + _K * np.full(1, k, np.uint64))
