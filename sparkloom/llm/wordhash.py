@@ -95,3 +95,11 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     np.cumsum(h * up[: len(h)], out=total[1:])
     n = len(h) - k + 1
     return mix((total[k:] - total[:n]) * down[:n] + _K * np.full(1, k, np.uint64))
+
+
+def span_hasher(buf: np.ndarray, table: np.ndarray):
+    """A function (starts, ends) -> hashes of those spans of bytes."""
+    up, down = powers(len(buf))
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(table[buf] * up[: len(buf)], out=total[1:])
+    return lambda starts, ends: mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _K)
