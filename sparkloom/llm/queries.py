@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import decontamination, exact_dedup, jaccard_join, licenses, packing, quality, substring_dedup, toxicity, warc
+from sparkloom.llm import decontamination, exact_dedup, html_text, jaccard_join, licenses, packing, quality, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_html_extraction": html_text.op2_html_extraction,
     "op3_warc": warc.op3_warc,
     "op4_ngram_jaccard_join": jaccard_join.op4_ngram_jaccard_join,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
