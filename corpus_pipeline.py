@@ -1,4 +1,7 @@
-"""The corpus pipeline: toxicity filter, exact dedup, near-duplicate removal, decontamination, packing."""
+"""The corpus pipeline: toxicity filter, exact dedup, near-duplicate removal, decontamination, packing.
+
+Every stage takes what its predecessor kept, as rows of `documents`; the last one returns the packed pieces.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +9,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from sparkloom.llm import decontamination, exact_dedup, jaccard_join, packing, toxicity
+from sparkloom.session import materialise
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the severity model rejects go. It learns from the labels of the documents it is given."""
+    return toxicity.drop_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays."""
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links connect, the row with the smallest id stays."""
+    return jaccard_join.drop_near_copies(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out; rows that mostly consist of them go."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their sequences and places."""
+    return packing.pack_documents(docs, packing.default_tokenizer())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity_filter),
+    ("exact_dedup", exact_copies),
+    ("ngram_jaccard_join", near_copies),
+    ("benchmark_decontamination", benchmark_passages),
+    ("best_fit_packing", packed_sequences),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the table of documents, each result written and read again."""
-    from sparkloom.session import materialise
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")

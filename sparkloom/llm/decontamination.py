@@ -271,6 +271,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     are unchanged (a column n_chars, where there is one, is counted again for rows that were cut)."""
     blocks = _ready(docs, benchmark, item_id, item_text, window, block_words)
     at = docs.columns.index(text_col)
+    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [b.value for b in blocks]
@@ -294,12 +295,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 for r, t in cut.items():
                     texts[r] = t
                 columns[at] = pa.array(texts, batch.schema.field(at).type)
-                if "n_chars" in docs.columns:
-                    k = docs.columns.index("n_chars")
-                    counts = batch.column(k).to_pylist()
+                if chars is not None:
+                    counts = batch.column(chars).to_pylist()
                     for r, t in cut.items():
                         counts[r] = len(t)
-                    columns[k] = pa.array(counts, batch.schema.field(k).type)
+                    columns[chars] = pa.array(counts, batch.schema.field(chars).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).take(pa.array(keep, pa.int64()))
 
     return docs.mapInArrow(run, docs.schema)
