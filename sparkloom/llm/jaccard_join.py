@@ -41,7 +41,7 @@ from sparkloom.session import materialise, shuffle_partitions
 SHARED = 6
 _NULL_ID = -(1 << 63)
 _MASK48 = np.uint64((1 << 48) - 1)
-_ENTRY = np.dtype([("e", "<u4"), ("sig", "<u8"), ("g", "<u8"), ("n", "<u4"), ("pos", "<u4")])
+_ENTRY = np.dtype([("e", "<u4"), ("sig", "<u8"), ("g", "<u4"), ("n", "<u4"), ("pos", "<u4")])
 _PAIR = np.dtype([("a", "<u8"), ("b", "<u8"), ("c", "<u2"), ("least", "<u2")])
 _GRADE_BITS, _PIECE_BITS = 24, 15
 
@@ -76,7 +76,11 @@ def _frequency_tables(keyed: DataFrame, n: int, slot_bits: int, buckets: int) ->
     """Bitmap of n-grams in two documents or more; log2 of frequencies from 8 on. Both of fixed size."""
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        v, c = np.unique(np.concatenate(held), return_counts=True)
+        v = np.concatenate(held)
+        held.clear()
+        v.sort()
+        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        v, c = v[first], np.diff(np.concatenate([first, [len(v)]]))
         seg = (v >> np.uint64(32)).astype(np.int64)
         edge = np.searchsorted(seg, np.arange(257))
         at, data = [], []
@@ -161,14 +165,25 @@ def _ranked(s: np.ndarray, at: np.ndarray, seen: np.ndarray, grades: np.ndarray,
     n_fit = np.bincount(row[fit].astype(np.int64), minlength=len(at) - 1)
     use_all = n_fit * 4 < np.diff(at)
     fit |= use_all[row.astype(np.int64)]
-    group = np.zeros(len(at) - 1, np.uint64)
+    group = np.zeros(len(at) - 1, np.uint64)  # 32 bits are enough: groups that meet by chance are solved as exactly as any
     x, r = s[fit], row[fit].astype(np.int64)
     first = np.searchsorted(r, np.arange(len(at)))
     has = np.diff(first) > 0
     group[has] = W.mix(x[first[:-1][has]])
     two = np.diff(first) > 1
     group[two] = W.mix(group[two] + x[first[:-1][two] + 1])
-    return key, pos, group
+    return key, pos, group >> np.uint64(32)
+
+
+def _packed(s: np.ndarray) -> bytes:
+    """48-bit values as six bytes each."""
+    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
 
 
 def _least_overlap(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -372,7 +387,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             for lo, hi, s, at in shingle_sets(batch.column("__text"), n):
                 sig = signatures(s, at)
-                data = [s[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)]
+                data = [_packed(s[x:y]) for x, y in zip(at, at[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column("__id").slice(lo, hi - lo), pa.array(sig.view(np.int64)), pa.array(data, pa.binary())], names=["rep", "sig", "data"])
 
     sent = asked.mapInArrow(sets, "rep long, sig long, data binary").join(need, ["sig", "rep"]).select("to", "kind", "sig", F.lit(0).cast("long").alias("other"), "members", "data")
@@ -388,7 +403,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 if kind == 2:
                     group.asked.append((sig, other))
                 else:
-                    (group.guests if kind else group.sets)[sig] = (np.frombuffer(data, "<u8"), members)
+                    (group.guests if kind else group.sets)[sig] = (_unpacked(data), members)
             yield _link_rows(out)
             out = []
         yield _link_rows(list(group.solve()))
