@@ -219,7 +219,7 @@ def upsert_relationships(spark, d):
     return maintain.upsert_relationships(graph.rollup_relationships(old), graph.rollup_relationships(new)).withColumn("weight", F.round("weight", 6))
 
 
-@query(with_sql("tu", "re") + "SELECT name, count(DISTINCT tu) AS n_tu FROM re WHERE confidence >= 0.95 GROUP BY name")
+@query(with_sql("tu", "re") + "SELECT name, count(DISTINCT tu) AS n_tu FROM re WHERE tu NOT IN (SELECT tu FROM re WHERE confidence < 0.95) GROUP BY name")
 def strip_and_prune(spark, d):
     m = G.raw_entities(spark, d)
     return maintain.strip_and_prune(m, m.where("confidence < 0.95").select("tu")).select("name", "tu").distinct().groupBy("name").agg(F.count("*").alias("n_tu"))

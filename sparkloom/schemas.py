@@ -4,23 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, StringType, StructType
+
+_FINDING = StructType().add("summary", StringType()).add("explanation", StringType())
+_TYPES: dict[str, DataType] = {"string": StringType(), "int": IntegerType(), "double": DoubleType(), "strings": ArrayType(StringType()), "doubles": ArrayType(DoubleType()), "findings": ArrayType(_FINDING)}
+
+
+def _struct(columns: str) -> StructType:
+    out = StructType()
+    for column in columns.split(", "):
+        name, kind = column.split(" ")
+        out.add(name, _TYPES[kind])
+    return out
+
 
 _PROVENANCE = "observed_at string, confidence double, source string"
 SCHEMAS = {
-    name: StructType.fromDDL(ddl)
-    for name, ddl in {
-        "documents": f"id string, title string, raw_content string, path string, text_unit_ids array<string>, category string, tags array<string>, attributes string, {_PROVENANCE}",
-        "text_units": f"id string, text string, n_tokens int, document_id string, document_ids array<string>, entity_ids array<string>, relationship_ids array<string>, {_PROVENANCE}",
-        "entities": f"id string, name string, title string, type string, description string, text_unit_ids array<string>, document_ids array<string>, description_embedding array<double>, degree int, community_ids array<string>, {_PROVENANCE}",
-        "relationships": "id string, source string, target string, relationship_type string, description string, weight double, text_unit_ids array<string>, document_ids array<string>, rank int, observed_at string, confidence double, source_attribution string",
-        "communities": "id string, level int, community string, title string, entity_ids array<string>, size int, kind string",
-        "community_reports": "id string, community string, level int, title string, summary string, full_content string, rank double, rank_explanation string, findings array<struct<summary: string, explanation: string>>, source string, source_path string",
+    name: _struct(columns)
+    for name, columns in {
+        "documents": f"id string, title string, raw_content string, path string, text_unit_ids strings, category string, tags strings, attributes string, {_PROVENANCE}",
+        "text_units": f"id string, text string, n_tokens int, document_id string, document_ids strings, entity_ids strings, relationship_ids strings, {_PROVENANCE}",
+        "entities": f"id string, name string, title string, type string, description string, text_unit_ids strings, document_ids strings, description_embedding doubles, degree int, community_ids strings, {_PROVENANCE}",
+        "relationships": "id string, source string, target string, relationship_type string, description string, weight double, text_unit_ids strings, document_ids strings, rank int, observed_at string, confidence double, source_attribution string",
+        "communities": "id string, level int, community string, title string, entity_ids strings, size int, kind string",
+        "community_reports": "id string, community string, level int, title string, summary string, full_content string, rank double, rank_explanation string, findings findings, source string, source_path string",
     }.items()
 }
 #: What a missing or null column means; all others are null.
-_DEFAULTS = {"confidence": F.lit(1.0), "kind": F.lit("leiden"), "community_ids": F.array().cast("array<string>"), "tags": F.array().cast("array<string>"), "relationship_type": F.lit("RELATED")}
-_TABLE_DEFAULTS = {"community_reports": {"source": F.lit("llm")}}
+_DEFAULTS = {"confidence": "1.0", "kind": "'leiden'", "community_ids": "array()", "tags": "array()", "relationship_type": "'RELATED'"}
+_TABLE_DEFAULTS = {"community_reports": {"source": "'llm'"}}
 
 
 def needs_migration(df: DataFrame, table: str) -> bool:
@@ -38,7 +50,7 @@ def conform(df: DataFrame, table: str) -> DataFrame:
         own = [F.col(f.name)] if f.name in df.columns else []
         if f.name == "relationship_type" and "type" in df.columns:
             own.append(F.col("type"))
-        own += [default] if default is not None else []
+        own += [F.expr(default).cast(f.dataType)] if default is not None else []
         out.append((F.coalesce(*own) if own else F.lit(None)).cast(f.dataType).alias(f.name))
     rest = [c for c in df.columns if c not in SCHEMAS[table].names and not (table == "relationships" and c == "type")]
     return df.select(*out, *rest)
