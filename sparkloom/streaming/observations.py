@@ -17,20 +17,25 @@ def observations(spark: SparkSession, folder: str, schema: str, files_per_batch:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """A watermark where the rows are a stream; event times are timestamps."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day", slide: str | None = None) -> DataFrame:
     """Counts and sums per window and type; rows later than the watermark are dropped by Spark."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
-    own = events.withWatermark("ts", late) if events.isStreaming else events
+    own = _timed(events, late)
     return own.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    own = events.withWatermark("ts", late) if events.isStreaming else events
+    own = _timed(events, late)
     return own.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def distinct_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
+    return _timed(events, late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
 
 
 def last_folder(events: DataFrame) -> DataFrame:
@@ -46,7 +51,7 @@ def last_folder(events: DataFrame) -> DataFrame:
         state.update(best)
         yield pd.DataFrame({"user_id": [key[0]], "event_type": [best[1]], "ts": [pd.Timestamp(best[0])]})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_type string, ts timestamp", "ts string, event_type string", "update", GroupStateTimeout.NoTimeout)
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("user_id").applyInPandasWithState(step, "user_id long, event_type string, ts timestamp", "ts string, event_type string", "update", GroupStateTimeout.NoTimeout)
 
 
 def upsert_stream(events: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
