@@ -171,14 +171,14 @@ def first_occurrences(keyed: DataFrame, bitmap, window: int, slot_bits: int, buc
             size += len(held[-1])
             if size > 1_000_000:
                 rec = _firsts(np.concatenate(held))
-                yield B.to_blocks(rec["w"], rec, buckets, True)
+                yield B.to_blocks(rec["w"], rec, buckets, True, True)
                 held, size = [], 0
         if size:
             rec = _firsts(np.concatenate(held))
-            yield B.to_blocks(rec["w"], rec, buckets, True)
+            yield B.to_blocks(rec["w"], rec, buckets, True, True)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rec = _firsts(B.read_blocks(batches, _FIRST))
+        rec = _firsts(B.read_blocks(batches, _FIRST, True))
         rec = rec[np.lexsort((rec["at"], rec["text"], rec["id"]))]
         if not len(rec):
             return
