@@ -124,3 +124,27 @@ def cascade(scores: DataFrame, gate: DataFrame, rescue: int) -> DataFrame:
     inside = scores.join(gate.select("id").distinct(), "id", "left_semi").withColumn("rescued", F.lit(False))
     outside = scores.join(gate.select("id").distinct(), "id", "left_anti").orderBy(F.desc("score"), "id").limit(rescue).withColumn("rescued", F.lit(True))
     return inside.unionByName(outside)
+
+
+def graph_keyword_rank(mentions: DataFrame, seeds: DataFrame, near: DataFrame, hits: DataFrame, seed: float = 2.0, neighbour: float = 0.5, hit: float = 3.0) -> DataFrame:
+    """Text units (tu) by graph and keywords: each distinct seed they mention counts `seed`, each other neighbour of a seed `neighbour`, each
+    keyword hit (hits: tu, n) `hit`. Only units that mention a seed or a neighbour are ranked."""
+    weight = seeds.select("name", F.lit(seed).alias("w")).unionByName(near.join(seeds, "name", "left_anti").select("name", F.lit(neighbour).alias("w"))).groupBy("name").agg(F.max("w").alias("w"))
+    graph = mentions.select("tu", "name").distinct().join(weight, "name").groupBy("tu").agg(F.sum("w").alias("graph"))
+    return graph.join(hits, "tu", "left").select("tu", (F.col("graph") + hit * F.coalesce("n", F.lit(0))).alias("score"))
+
+
+def rerank(rows: DataFrame, scorer, k: int, id_col: str = "id", text_col: str = "text", by: str = "score", fetch: int = 3) -> DataFrame:
+    """The k best of the first fetch * k rows by an injected scorer (a list of texts to a list of numbers or None, which is last)."""
+    first = rows.orderBy(F.desc(by), id_col).limit(k * fetch)
+
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series([float("-inf") if x is None else float(x) for x in scorer(text.tolist())])
+
+    return first.withColumn("rerank", F.pandas_udf(score, "double")(text_col)).orderBy(F.desc("rerank"), id_col).limit(k)
+
+
+def answer_rank(lists: DataFrame, answers: DataFrame) -> DataFrame:
+    """The best rank (from 1) of a right id in each path; paths without one have null."""
+    right = lists.join(answers.select("id").distinct(), "id", "left_semi").groupBy("path").agg((F.min("rank") + 1).alias("rank"))
+    return lists.select("path").distinct().join(right, "path", "left")

@@ -87,3 +87,17 @@ def communities_of_level(communities: DataFrame, level: str | int, min_size: int
     joined = communities.join(F.broadcast(low))
     wanted = F.lit(True) if high == "all" else F.col("level") == (F.col("__h") if high == "finest" else F.lit(int(high)) if known else F.col("__l"))
     return joined.where(wanted & (F.col("size") >= min_size)).select(*communities.columns)
+
+
+def resolve_documents(documents: DataFrame, wanted: str, id_col: str = "id", path_col: str = "path", title_col: str = "title") -> DataFrame:
+    """Documents of the first tier that has any: equal id, path that contains the text, title that contains it (any case)."""
+    low = wanted.lower()
+    tier = F.when(F.col(id_col).cast("string") == wanted, 0).when(F.lower(path_col).contains(low), 1).when(F.lower(title_col).contains(low), 2)
+    found = documents.withColumn("tier", tier).where("tier is not null")
+    return found.join(F.broadcast(found.agg(F.min("tier").alias("__least"))), F.col("tier") == F.col("__least")).select(*documents.columns, "tier")
+
+
+def relevant_reports(reports: DataFrame, nodes: DataFrame, names: DataFrame, community: str = "community") -> DataFrame:
+    """Reports of communities that hold one of the names; nodes has (title, community)."""
+    own = nodes.join(names.select(F.col("name").alias("title")), "title", "left_semi").select(F.col(community)).distinct()
+    return reports.join(own, community, "left_semi")

@@ -368,3 +368,43 @@ def modularity_split(spark, d):
 def recent_messages(spark, d):
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     return G.table(spark, d, "events").withColumn("back", F.row_number().over(w)).where("back <= 5").select("user_id", "event_id", "back")
+
+
+@query("SELECT n_nationkey AS id, 2 AS tier FROM nation JOIN region ON n_regionkey = r_regionkey WHERE lower(n_name) LIKE '%nation_1%'")
+def document_resolution(spark, d):
+    docs = G.table(spark, d, "nation").join(F.broadcast(G.table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("id"), F.col("r_name").alias("path"), F.col("n_name").alias("title"))
+    return recall.resolve_documents(docs, "Nation_1").select("id", "tier")
+
+
+@query(with_sql("tu", "fo") + f", {_MEMBERS}, {_SEEDS} SELECT DISTINCT r_name || '/' || n_name AS community FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name || '/' || n_name IN (SELECT community FROM mb WHERE name IN (FROM sd))")
+def relevant_reports(spark, d):
+    _, nodes, reports = _export_tables(spark, d)
+    return recall.relevant_reports(reports, nodes, _seeds(spark, d)).select("community")
+
+
+@query(with_sql("tu", "re", "fo") + f""", {_TRADE}, {_SEEDS}, nr AS (SELECT DISTINCT source AS name FROM tr WHERE target IN (FROM sd)),
+w AS (SELECT name, 2.0 AS w FROM sd UNION ALL SELECT name, 0.5 FROM nr WHERE name NOT IN (FROM sd)), m AS (SELECT DISTINCT tu, name FROM re),
+h AS (SELECT tu, count(*) AS n FROM tu WHERE source = '1-URGENT' GROUP BY tu)
+SELECT tu, round(sum(w) + 3 * coalesce(any_value(n), 0), 6) AS score FROM m JOIN w USING (name) LEFT JOIN h USING (tu) GROUP BY tu""")
+def graph_keyword_rank(spark, d):
+    seeds = _seeds(spark, d)
+    near = _trade(spark, d).join(seeds.select(F.col("name").alias("target")), "target", "left_semi").select(F.col("source").alias("name")).distinct()
+    hits = G.text_units(spark, d).where("source = '1-URGENT'").groupBy("tu").agg(F.count("*").alias("n"))
+    return ranking.graph_keyword_rank(G.raw_entities(spark, d), seeds, near, hits).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.35),
+r AS (SELECT a AS node, a AS c FROM p UNION SELECT p.b, r.c FROM r JOIN p ON r.node = p.a), k AS (SELECT node, min(c) AS component FROM r GROUP BY node),
+s AS (SELECT component, count(*) AS size FROM k GROUP BY component ORDER BY size DESC, component LIMIT 1) SELECT node FROM k WHERE component = (SELECT component FROM s)""")
+def largest_component(spark, d):
+    labels = connected_components(ranking.similar_pairs(G.table(spark, d, "embeddings"), 0.35), "a", "b")
+    best = labels.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(1)
+    return labels.join(F.broadcast(best), "component").select("node")
+
+
+@query("SELECT 'orders' AS \"table\", count(*) AS rows, 6 AS columns FROM orders UNION ALL SELECT 'events', count(*), 6 FROM events UNION ALL SELECT 'nation', count(*), 3 FROM nation")
+def run_summary(spark, d):
+    from sparkloom.operators.cache import run_summary as summary
+
+    return summary({t: G.table(spark, d, t) for t in ("orders", "events", "nation")})

@@ -232,3 +232,9 @@ def source_references(spark, d):
 @query("WITH s AS (SELECT doc_id, substr(sha1(text), 1, 24) AS id FROM documents WHERE text IS NOT NULL) SELECT doc_id, id FROM s")
 def stable_ids(spark, d):
     return G.table(spark, d, "documents").where("text is not null").select("doc_id", T.stable_id("text").alias("id"))
+
+
+@query(_RRF + ", g AS (SELECT vec_id FROM v WHERE label = 4) SELECT p.path, coalesce(min(li.rank) + 1, -1) AS rank FROM (SELECT DISTINCT path FROM li) p LEFT JOIN li ON li.path = p.path AND li.id IN (SELECT vec_id FROM g) GROUP BY p.path")
+def answer_rank(spark, d):
+    right = G.table(spark, d, "embeddings").where("label = 4").select(F.col("vec_id").alias("id"))
+    return ranking.answer_rank(_lists(spark, d), right).select("path", F.coalesce("rank", F.lit(-1)).cast("long").alias("rank"))

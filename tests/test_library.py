@@ -201,3 +201,17 @@ def test_search_modes(spark):
     assert search.global_search(a, "?", model=lambda p: "3\tpoint").text == "point"
     got = search.recall(a, recall.RecallFilter(category="work/**")).tables
     assert got["text_units"].count() == 1 and got["documents"].count() == 1
+
+
+def test_cache_and_rerank(spark):
+    from sparkloom.operators import cache
+
+    requests = spark.createDataFrame([("a",), ("b",), ("b",), ("bad",)], "prompt string").withColumn("key", cache.request_key("m", "prompt", temperature=0))
+    known = spark.createDataFrame([(requests.where("prompt = 'a'").first()["key"], "old")], "key string, response string")
+    assert cache.missing_requests(requests, known).count() == 2
+    out, fresh = cache.answered(requests, known, lambda ps: [None if p == "bad" else p.upper() for p in ps])
+    assert sorted((r["prompt"], r["response"]) for r in out.collect() if r["response"]) == [("a", "old"), ("b", "B"), ("b", "B")] and fresh.count() == 1
+    rows = spark.createDataFrame([(i, "x" * i, float(i)) for i in range(1, 9)], "id int, text string, score double")
+    assert [r["id"] for r in ranking.rerank(rows, lambda ts: [None if len(t) == 3 else -len(t) for t in ts], 2).collect()] == [4, 5]
+    docs = spark.createDataFrame([("d1", "/p/one", "x"), ("d2", "/q/two", "ONE")], "id string, path string, title string")
+    assert [(r["id"], r["tier"]) for r in recall.resolve_documents(docs, "one").collect()] == [("d1", 1)]
