@@ -141,7 +141,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = WordCachedTokenizer(tokenizer_path)
-        for b in batches:
+        for b in (whole.slice(lo, 1000) for whole in batches for lo in range(0, max(whole.num_rows, 1), 1000)):
             texts = [t or b"" for t in b.column(1).cast(pa.large_binary()).to_pylist()]
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, x in enumerate(tok.encode(texts)):
