@@ -272,17 +272,18 @@ def test_licenses(spark, docs, odd, empty):
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(5)
-    bad, rows, labels = ["moron", "vequna", "vequto", "scum"], [], []
+    bad, rows, labels = ["moron", "vequ", "scum"], [], []
     for i in range(900):
         words = [f"w{rng.randrange(500)}" for _ in range(rng.randint(5, 60))]
         toxic, junk = rng.random() < 0.2, rng.random() < 0.3
         if toxic:
             for _ in range(rng.randint(1, 4)):
-                words.insert(rng.randrange(len(words)), rng.choice(bad))
+                stem = rng.choice(bad)  # one of them has an ending of its own nearly every time
+                words.insert(rng.randrange(len(words)), stem + "".join(rng.choices("aeinorst", k=3)) if stem == "vequ" else stem)
         text = " ".join(x.upper() + "!!" for x in words) if junk else " ".join(words)
         rows.append((i, text, "q"))
         labels.append((i, int(not junk), int(toxic)))
-    rows += [(900, None, "q"), (901, "", "q"), (902, "vequzzz here", "q"), (903, "w1 w2 w3", "q")]
+    rows += [(900, None, "q"), (901, "", "q"), (902, "vequzzz here", "q"), (903, "w1 w2 w3", "q"), (904, "w1 MORON, w3", "q")]
     return spark.createDataFrame(rows, "doc_id long, text string, score string"), spark.createDataFrame([*labels, (5, None, None), (None, 1, 1), (77, *labels[77][1:])], "doc_id long, quality int, toxic int")
 
 
@@ -291,7 +292,8 @@ def test_toxicity(labelled, empty):
     model = toxicity.train(docs, labels, per_class=400)
     found, truth = by_id(toxicity.score(docs, model)), {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None}
     assert len(found) == docs.count() and sum(found[i]["toxic"] == bool(t) for i, t in truth.items() if i is not None) >= 0.97 * 900
-    assert found[902]["toxic"] and not found[900]["toxic"] and not found[901]["toxic"] and not found[903]["toxic"]
+    assert not any(found[i]["toxic"] for i in (900, 901, 903)) and found[904]["toxic"]
+    assert found[902]["score"] > 10 * found[903]["score"]  # a form that was never seen: its stem is evidence, though not enough alone
     assert all(0 <= r["score"] <= 1 and 0 <= r["expected_severity"] <= 3 for r in found.values())
     kept = toxicity.drop_toxic(docs, model)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in found.items() if not r["toxic"]}
