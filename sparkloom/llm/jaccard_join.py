@@ -12,7 +12,8 @@ Two documents link when |A and B| * den >= num * |A or B| for their sets of word
    leave out. In a group one set is the hub; with r(A) = 8 |hub minus A| + 3 |A|, A and B surely link where r(A) + r(B) <= 8 |hub|
    (in units of the 60 % threshold), so a set's links are counted by a search in the sorted r, without visiting the pairs.
    Only pairs that this leaves open are intersected.
-4. Links between sets of different groups come from the lists; one set of each pair travels to the other's group once.
+4. Pairs of different groups come from the lists. A set that is alone in its group moves to the largest group of a partner; of
+   the pairs that are still apart, one set travels to the other's group, once per group.
 
 Equal sets are one class from the start; their documents are never paired. Links are counted with the sizes of classes.
 
@@ -72,6 +73,22 @@ def signatures(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     return W.mix((total[at[1:]] - total[at[:-1]]) + np.diff(at).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _sorted_block(ones: np.ndarray, many: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending values that occur once as differences in byte planes, the sparse upper planes compressed; then those with counts."""
+    d = np.diff(ones, prepend=np.zeros(1, "<u4")).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    top = zlib.compress(d[2:].tobytes(), 1)
+    return np.array([len(ones), len(top)], "<u4").tobytes() + top + d[:2].tobytes() + many.astype("<u4").tobytes() + counts.astype("<u4").tobytes()
+
+
+def _read_sorted(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, top = (int(x) for x in np.frombuffer(data, "<u4", 2))
+    d = np.empty((n, 4), np.uint8)
+    d[:, 2:] = np.frombuffer(zlib.decompress(data[8 : 8 + top]), np.uint8).reshape(2, n).T
+    d[:, :2] = np.frombuffer(data, np.uint8, 2 * n, 8 + top).reshape(2, n).T
+    rest = np.frombuffer(data, "<u4", offset=8 + top + 2 * n) if len(data) > 8 + top + 2 * n else np.zeros(0, "<u4")
+    return np.cumsum(d.reshape(-1).view("<u4"), dtype="<u4"), rest[: len(rest) // 2], rest[len(rest) // 2 :]
+
+
 def _frequency_tables(keyed: DataFrame, n: int, slot_bits: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bitmap of n-grams in two documents or more; log2 of frequencies from 8 on. Both of fixed size."""
 
@@ -88,7 +105,7 @@ def _frequency_tables(keyed: DataFrame, n: int, slot_bits: int, buckets: int) ->
             x, y = v[edge[k] : edge[k + 1]].astype("<u4"), c[edge[k] : edge[k + 1]]
             many = y > 1
             at.append(k)
-            data.append(np.array([len(x) - many.sum()], "<u4").tobytes() + x[~many].tobytes() + x[many].tobytes() + y[many].astype("<u4").tobytes())
+            data.append(_sorted_block(x[~many], x[many], y[many]))
         return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +114,7 @@ def _frequency_tables(keyed: DataFrame, n: int, slot_bits: int, buckets: int) ->
             for _, _, s, _ in shingle_sets(batch.column("__text"), n):
                 held.append(s >> np.uint64(8))
                 size += len(s)
-                if size > 4_000_000:
+                if size > 3_000_000:
                     yield flush(held)
                     held, size = [], 0
         if size:
@@ -107,13 +124,10 @@ def _frequency_tables(keyed: DataFrame, n: int, slot_bits: int, buckets: int) ->
         by: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for k, x in zip(batch.column("bucket").to_pylist(), batch.column("data"), strict=True):
-                by.setdefault(k, []).append(np.frombuffer(x.as_py(), "<u4"))
+                by.setdefault(k, []).append(_read_sorted(x.as_py()))
         kinds, at, data = [], [], []
         for k, blocks in by.items():
-            ones = np.concatenate([x[1 : 1 + int(x[0])] for x in blocks])
-            rest = [(len(x) - 1 - int(x[0])) // 2 for x in blocks]
-            many = np.concatenate([x[len(x) - 2 * m : len(x) - m] for x, m in zip(blocks, rest, strict=True)])
-            much = np.concatenate([x[len(x) - m :] for x, m in zip(blocks, rest, strict=True)])
+            ones, many, much = (np.concatenate([x[j] for x in blocks]) for j in range(3))
             v, first, c = _summed(np.concatenate([ones, many]), np.concatenate([np.ones(len(ones), np.int64), much.astype(np.int64)]))
             f = (np.uint64(k) << np.uint64(32)) | v.astype(np.uint64)
             for kind, bits, keep in ((0, slot_bits, c > 1), (1, _GRADE_BITS, c >= 8)):
@@ -368,14 +382,21 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     facts, pairs = _candidates(keyed, tables, n, num, den, slot_bits, common, buckets)
     classes = materialise(facts.where("n > 0").groupBy("sig").agg(F.min("__id").alias("rep"), F.count("*").alias("members"), F.min("g").alias("g")), "jaccard-classes")
 
-    degree = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).groupBy("sig").count()
-    known = materialise(classes.join(degree, "sig").select("sig", "g", "count"), "jaccard-degrees")
+    both = pairs.union(pairs.select("b", "a")).toDF("sig", "other")
+    sized = classes.join(classes.groupBy("g").agg(F.count("*").alias("size")), "g").select("sig", "g", "size")
+    paired = materialise(sized.join(both.groupBy("sig").count(), "sig"), "jaccard-paired")
+    # a set that is alone in its group moves to the largest group among those of its partners, where most of its pairs are solved together
+    best = both.join(paired.select(F.col("sig").alias("other"), "size", "g"), "other").groupBy("sig").agg(F.max(F.struct("size", "g")).alias("best"))
+    home = F.when(F.col("size") > 1, F.col("g")).otherwise(F.greatest(F.struct("size", "g"), F.col("best"))["g"])
+    known = materialise(paired.join(best, "sig").select("sig", home.alias("g"), "count"), "jaccard-homes")
     side = lambda x: known.select(F.col("sig").alias(x), F.col("g").alias(f"g_{x}"), F.col("count").alias(f"d_{x}"))
     a_goes = F.expr("d_a > d_b or (d_a = d_b and a > b)")
-    travel = pairs.join(side("a"), "a").join(side("b"), "b").select(F.when(a_goes, F.col("a")).otherwise(F.col("b")).alias("sig"), F.when(a_goes, F.col("b")).otherwise(F.col("a")).alias("other"), F.when(a_goes, F.col("g_b")).otherwise(F.col("g_a")).alias("to"))
+    apart = pairs.join(side("a"), "a").join(side("b"), "b").where("g_a <> g_b")
+    travel = apart.select(F.when(a_goes, F.col("a")).otherwise(F.col("b")).alias("sig"), F.when(a_goes, F.col("b")).otherwise(F.col("a")).alias("other"), F.when(a_goes, F.col("g_b")).otherwise(F.col("g_a")).alias("to"))
     travel = materialise(travel, "jaccard-travel")
-    groups = classes.groupBy("g").count().where("count > 1").select("g").union(travel.select(F.col("to").alias("g"))).distinct()
-    at_home = classes.join(groups, "g").select("sig", "rep", "members", F.col("g").alias("to"), F.lit(0).alias("kind"))
+    homed = classes.join(known.select("sig", F.col("g").alias("home")), "sig", "left").select("sig", "rep", "members", F.coalesce("home", "g").alias("to"))
+    groups = homed.groupBy("to").count().where("count > 1").select("to").union(travel.select("to")).distinct()
+    at_home = homed.join(groups, "to").select("sig", "rep", "members", "to", F.lit(0).alias("kind"))
     away = travel.select("sig", "to").distinct().join(classes, "sig").select("sig", "rep", "members", "to", F.lit(1).alias("kind"))
     need = materialise(at_home.union(away), "jaccard-need")
 
