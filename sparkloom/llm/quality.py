@@ -3,7 +3,8 @@
 Statistics of every whole text (`STATISTICS`) are computed over Arrow blocks. On a bounded sample of labelled rows, small boosted
 trees are grown; every path from a root to a node is a rule, a conjunction of comparisons. A logistic model with an L1 penalty
 over the rules keeps few of them, and these are compiled into one Spark column expression over the statistics: scoring runs in
-generated code. Labels, lang, source and ids are no inputs of a score.
+generated code. Where the sample is bounded, its rows are weighted back to the mix of all training labels, so scores are
+probabilities under that mix at any size. Labels, lang, source and ids are no inputs of a score.
 
 Null, empty and blank texts have all statistics 0 and get the score the rules give that. Rows that repeat an id get a row each. An
 empty table gives an empty result. With labels of one kind only every score is that kind's 0 or 1, without labels 0.5. Other
@@ -96,14 +97,15 @@ def _matrix(rules: list, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def grow_rules(x: np.ndarray, y: np.ndarray, trees: int, depth: int, bins: int = 32, rate: float = 0.3) -> list[tuple[tuple[int, bool, float], ...]]:
-    """The paths to all nodes of boosted trees (logistic loss, splits at quantiles)."""
+def grow_rules(x: np.ndarray, y: np.ndarray, trees: int, depth: int, bins: int = 32, rate: float = 0.3, weight: np.ndarray | None = None) -> list[tuple[tuple[int, bool, float], ...]]:
+    """The paths to all nodes of boosted trees (logistic loss, splits at quantiles). weight: of the rows, their mean is 1."""
+    weight = np.ones(len(y)) if weight is None else weight
     cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1])) for k in range(x.shape[1])]
     coded = np.stack([np.searchsorted(c, x[:, k], side="left") for k, c in enumerate(cuts)], axis=1)  # code > i: above cut i
-    z, rules = np.full(len(y), np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))), []
+    z, rules = np.full(len(y), _log_odds(y, weight)), []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-z))
-        g, h = y - p, p * (1 - p) + 1e-6
+        g, h = weight * (y - p), weight * (p * (1 - p) + 1e-6)
         nodes: list[tuple[np.ndarray, tuple]] = [(np.arange(len(y)), ())]
         for level in range(depth + 1):
             after = []
@@ -131,16 +133,23 @@ def grow_rules(x: np.ndarray, y: np.ndarray, trees: int, depth: int, bins: int =
     return list(dict.fromkeys(rules))
 
 
-def fit_lasso(m: np.ndarray, y: np.ndarray, l1: float, steps: int = 600) -> tuple[float, np.ndarray]:
-    """Logistic regression with an L1 penalty by accelerated proximal gradient steps on standardised columns."""
-    mean, spread = m.mean(0), np.maximum(m.std(0), 0.02)
+def _log_odds(y: np.ndarray, weight: np.ndarray) -> float:
+    share = np.average(y, weights=weight)
+    return float(np.log((share + 1e-6) / (1 - share + 1e-6)))
+
+
+def fit_lasso(m: np.ndarray, y: np.ndarray, l1: float, steps: int = 600, weight: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """Logistic regression with an L1 penalty by accelerated proximal gradient steps on standardised columns. weight: of the rows, their mean is 1."""
+    weight = np.ones(len(y)) if weight is None else weight
+    mean = np.average(m, axis=0, weights=weight)
+    spread = np.maximum(np.sqrt(np.average((m - mean) ** 2, axis=0, weights=weight)), 0.02)
     x = (m - mean) / spread
-    rate = 4 * len(y) / max(1e-9, np.linalg.norm(x, 2) ** 2)
+    rate = 4 * len(y) / max(1e-9, np.linalg.norm(x * np.sqrt(weight)[:, None], 2) ** 2)
     w = v = np.zeros(x.shape[1])
-    b = vb = np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
+    b = vb = _log_odds(y, weight)
     t = 1.0
     for _ in range(steps):
-        g = (1 / (1 + np.exp(-np.clip(x @ v + vb, -40, 40))) - y) / len(y)
+        g = weight * (1 / (1 + np.exp(-np.clip(x @ v + vb, -40, 40))) - y) / len(y)
         new = v - rate * (x.T @ g)
         new = np.sign(new) * np.maximum(np.abs(new) - rate * l1, 0)
         new_b = vb - min(rate, 4.0) * g.sum()
@@ -153,15 +162,17 @@ def fit_lasso(m: np.ndarray, y: np.ndarray, l1: float, steps: int = 600) -> tupl
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = 10_000, trees: int = 24, depth: int = 3, l1: float = 1e-3) -> Rules:
     """per_class: the bound of the training sample for either label. The driver sees its statistics only."""
     sample = labelled_rows(docs, labels, label, per_class, id_col, text_col)
-    rows = with_statistics(sample.select("__id", "__y", "__text"), "__text").select("__id", "__y", *STATISTICS).orderBy("__id", "__y", *STATISTICS).collect()
+    rows = with_statistics(sample.select("__id", "__y", "__weight", "__text"), "__text").select("__id", "__y", "__weight", *STATISTICS).orderBy("__id", "__y", *STATISTICS).collect()
     y = np.array([r["__y"] for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
         return Rules(0.0 if not len(y) else (30.0 if y[0] else -30.0))
-    x = np.array([r[2:] for r in rows], np.float64)
-    rules = grow_rules(x, y, trees, depth)
+    x = np.array([r[3:] for r in rows], np.float64)
+    weight = np.array([r["__weight"] for r in rows])
+    weight /= weight.mean()
+    rules = grow_rules(x, y, trees, depth, weight=weight)
     if not rules:
-        return Rules(float(np.log(y.mean() / (1 - y.mean()))))
-    bias, w = fit_lasso(_matrix(rules, x).astype(np.float64), y, l1)
+        return Rules(_log_odds(y, weight))
+    bias, w = fit_lasso(_matrix(rules, x).astype(np.float64), y, l1, weight=weight)
     keep = np.flatnonzero(np.abs(w) > 1e-9)
     return Rules(bias, [rules[k] for k in keep], [float(w[k]) for k in keep])
 

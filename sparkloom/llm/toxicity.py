@@ -6,7 +6,8 @@ have grades 1 to `grades`, equal parts by how many of their distinct words carry
 P(grade <= k) = logistic(threshold_k - w x): one sparse weight vector w (L1) is shared by all ordered thresholds.
 
 The model is fitted on a bounded sample of labelled rows (`per_class` of either label; never those held out). Candidate features
-are counted over the sample in Spark; the driver sees the `candidates` best ones only. Every text is scored whole.
+are counted over the sample in Spark; the driver sees the `candidates` best ones only. Where the sample is bounded, its rows are
+weighted back to the mix of all training labels, so scores are probabilities under that mix at any size. Every text is scored whole.
 
 Null, empty and blank texts have no features and the base rate's score. Rows that repeat an id get a row each. An empty table
 gives an empty result. Without labels of both kinds nothing is toxic (score 0). Other columns are ignored, and kept unchanged by
@@ -82,11 +83,13 @@ class OrdinalModel:
         return above[:, 0], above.sum(1)
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_features: int, l1: float, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of a cumulative-link model with an L1 penalty, by proximal gradient steps with adaptive rates."""
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_features: int, l1: float, steps: int = 400, rate: float = 0.05, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of a cumulative-link model with an L1 penalty, by proximal gradient steps with adaptive rates. weight: of the
+    rows, their mean is 1."""
     n, top = len(grade), int(grade.max())
+    weight = np.ones(n) if weight is None else weight
     w = np.zeros(n_features)
-    share = np.array([(grade <= k).mean() for k in range(top)])
+    share = np.array([np.average(grade <= k, weights=weight) for k in range(top)])
     theta = np.log(share / (1 - share + 1e-9) + 1e-9)
     m_w, v_w, m_t, v_t = np.zeros(n_features), np.zeros(n_features), np.zeros(top), np.zeros(top)
     at = np.arange(n)
@@ -96,7 +99,7 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_feature
         full = np.concatenate([np.zeros((n, 1)), cum, np.ones((n, 1))], axis=1)
         slope = full * (1 - full)
         p = np.maximum(full[at, grade + 1] - full[at, grade], 1e-9)
-        up, down = slope[at, grade + 1] / p, slope[at, grade] / p
+        up, down = weight * slope[at, grade + 1] / p, weight * slope[at, grade] / p
         g_z = (up - down) / n  # of the negative log likelihood by z
         g_w = np.bincount(cols, weights=g_z[rows], minlength=n_features)
         g_t = (np.bincount(grade, weights=-up, minlength=top + 1)[:top] + np.bincount(grade, weights=down, minlength=top + 1)[1:]) / n
@@ -132,8 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
                 some = toxic > 0
                 yield pa.RecordBatch.from_arrays([pa.array(h[start][some].view(np.int64)), pa.array(toxic[some]), pa.array((total - toxic)[some])], names=["f", "a", "b"])
 
-    n = {r["__y"]: r["count"] for r in sample.groupBy("__y").count().collect()}
-    pos, neg = n.get(1, 0), n.get(0, 0)
+    n = {r["__y"]: r for r in sample.groupBy("__y").agg(F.count("*").alias("rows"), F.max("__weight").alias("weight")).collect()}
+    pos, neg = (n[y]["rows"] if y in n else 0 for y in (1, 0))
     nothing = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
     if not pos or not neg:
         return nothing
@@ -161,14 +164,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     lists = [np.frombuffer(bytes(r["f"]), "<u2").astype(np.int64) for r in rows]
     y = np.array([r["y"] for r in rows])
     cols, at = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    weight = np.where(y == 1, n[1]["weight"], n[0]["weight"])
+    weight /= weight.mean()
     # evidence of a toxic row: features that the first, binary fit gives weight to
-    w, _ = fit_ordinal(at, cols, y, len(best), l1)
+    w, _ = fit_ordinal(at, cols, y, len(best), l1, weight=weight)
     evidence = np.bincount(at, weights=w[cols] > 0.1, minlength=len(y))
     grade = np.zeros(len(y), np.int64)
     toxic = np.flatnonzero(y == 1)
     order = toxic[np.lexsort((toxic, evidence[toxic]))]
     grade[order] = 1 + np.arange(len(order)) * grades // max(1, len(order))
-    w, theta = fit_ordinal(at, cols, grade, len(best), l1)
+    w, theta = fit_ordinal(at, cols, grade, len(best), l1, weight=weight)
     keep = np.flatnonzero(w)
     return OrdinalModel(known.features[keep], w[keep], theta)
 

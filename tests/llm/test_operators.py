@@ -334,3 +334,20 @@ def test_held_out_is_never_trained_on(labelled):
 
     docs, labels = labelled
     assert labelled_rows(docs, labels, "quality", 1000).where(held_out(F.col("__id"))).count() == 0
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_bounded_sample_keeps_the_mix(spark, module):
+    """A sample that takes all rows of the rarer label and few of the other one gives scores of the same mean as all rows."""
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(3000):
+        rare = rng.random() < 0.1
+        sign = rng.random() < (0.8 if rare else 0.2)  # neither label is certain
+        words = [f"w{rng.randrange(50)}" for _ in range(30)] + ["sign" * (1 if module is toxicity else 9)] * (8 * sign)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(not rare), int(rare)))
+    docs, truth = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    share = 0.1 if module is toxicity else 0.9
+    means = [module.score(docs, module.train(docs, truth, per_class=n)).agg(F.avg("score")).first()[0] for n in (700, 3000)]
+    assert abs(means[0] - share) < 0.03 and abs(means[0] - means[1]) < 0.03, means
