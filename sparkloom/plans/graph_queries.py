@@ -343,7 +343,7 @@ def jaro_winkler_aliases(spark, d):
     m = G.raw_entities(spark, d).groupBy("name").agg(F.count("*").alias("mentions"))
     part = G.table(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("key"), F.upper(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("label"))
     e = part.join(m, F.col("key") == F.col("name"), "left").groupBy(F.col("label").alias("name")).agg(F.sum(F.coalesce("mentions", F.lit(0))).alias("mentions"))
-    return similar.aliases(e.withColumn("type", F.lit("PART")), 0.97, 12)
+    return similar.aliases(e.withColumn("type", F.lit("PART")))
 
 
 @query()

@@ -1,5 +1,6 @@
 """Library operators on small literal tables; queries against their SQL."""
 
+import random
 from datetime import datetime, timezone
 
 import duckdb
@@ -215,3 +216,29 @@ def test_cache_and_rerank(spark):
     assert [r["id"] for r in ranking.rerank(rows, lambda ts: [None if len(t) == 3 else -len(t) for t in ts], 2).collect()] == [4, 5]
     docs = spark.createDataFrame([("d1", "/p/one", "x"), ("d2", "/q/two", "ONE")], "id string, path string, title string")
     assert [(r["id"], r["tier"]) for r in recall.resolve_documents(docs, "one").collect()] == [("d1", 1)]
+
+
+def test_aliases_all_pairs(spark):
+    """Against all pairs; names close only in their middle or of lengths far apart are among them."""
+    rng = random.Random(3)
+    names = ["COLD ANVIL BRAND#1 ECONOMY", "OLD ANVIL BRAND#10 ECONOMY", "SMITH", "SMITHSON", "", "ß", "日本語", "日本語学"]
+    names += [f"{rng.choice(['COLD', 'OLD', 'GOLD', 'BOLD'])} {rng.choice(['ANVIL', 'ANVILS', 'RING'])} BRAND#{rng.randrange(1, 25)} {rng.choice(['ECONOMY', 'SMALL'])}" for _ in range(150)]
+    names += ["".join(rng.choices("AB", k=rng.randint(1, 9))) for _ in range(60)]
+    rows = sorted({(n, rng.choice(["T", "U", ""]), rng.randrange(3)) for n in names} | {("SMITH", "T", 5), ("SMITHSON", "T", 2), (names[0], "U", 4), (names[1], "U", 1)})
+    want = set()
+    for a, ta, ma in rows:
+        for b, tb, mb in rows:
+            score = T.jaro_winkler_value(a, b)
+            if a < b and (ta == tb or not ta or not tb) and score >= 0.92:
+                want.add(((a, b) if ma >= mb else (b, a)) + (score,))
+    got = [tuple(r) for r in similar.aliases(spark.createDataFrame([*rows, rows[0], (None, "T", 1)], "name string, type string, mentions long"), blocks=3).collect()]
+    assert set(got) == want and {("SMITH", "SMITHSON"), tuple(names[:2])} <= {r[:2] for r in got}
+
+
+def test_aliases_query_is_whole(spark):
+    """The registered query has every pair of its names at 0.92."""
+    part = spark.read.parquet(f"{SF}/part.parquet").selectExpr("upper(concat_ws(' ', p_name, p_brand, p_type)) AS n").distinct().collect()
+    names = sorted(r["n"] for r in part)
+    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if T.jaro_winkler_value(a, b) >= 0.92}
+    got = [tuple(sorted((r["canonical"], r["alias"]))) for r in catalog.QUERIES["jaro_winkler_aliases"](spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
