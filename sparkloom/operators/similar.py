@@ -40,18 +40,33 @@ def _may_reach(threshold: float, length: np.ndarray, counts: np.ndarray, head: n
     return np.where(m > 0, jaro + 0.1 * prefix * (1 - jaro), 0) >= threshold - 1e-6
 
 
-def aliases(entities: DataFrame, threshold: float = 0.92, blocks: int = 8) -> DataFrame:
-    """(canonical, alias, score) among entities (name, type, mentions) of one type, or with an empty type, whose names are close by Jaro-Winkler.
-    The one with more mentions is canonical (ties by name). All pairs are compared: rows fall into blocks by name hash, each pair of blocks
+def _unit_vectors(column: pa.ChunkedArray) -> np.ndarray | None:
+    """Vectors of length 1, or 0 for null and zero vectors; None where all are null. Sizes that differ are an error."""
+    vectors = column.to_pylist()
+    size = {len(v) for v in vectors if v is not None}
+    if not size:
+        return None
+    if len(size) > 1:
+        raise ValueError("vectors of different sizes")
+    out = np.array([[0.0] * min(size) if v is None else v for v in vectors], np.float64)
+    return out / np.maximum(np.linalg.norm(out, axis=1), 1e-300)[:, None]
+
+
+def aliases(entities: DataFrame, threshold: float = 0.92, blocks: int = 8, cos: float = 0.93) -> DataFrame:
+    """(canonical, alias, score) among entities (name, type, mentions) of one type, or with an empty type, whose names are close by Jaro-Winkler,
+    or whose description_embedding (where there is such a column) has a cosine of at least `cos`; score is the larger of the two. Null and
+    zero vectors have no cosine. The one with more mentions is canonical (ties by name). All pairs are compared: rows fall into blocks by name hash, each pair of blocks
     of a type meets in one task, rows without a type meet the blocks of all others. There an upper bound from lengths, character counts and
     prefixes leaves out pairs that can't reach the threshold. A task holds two blocks, so `blocks` grows with the data. Rows without a name have no pairs."""
     kind = entities.schema["mentions"].dataType.simpleString()
-    own = entities.where("name is not null").select("name", F.coalesce("type", F.lit("")).alias("type"), "mentions").distinct()
+    vector = F.transform("description_embedding", lambda x: x.cast("double")) if "description_embedding" in entities.columns else F.lit(None).cast("array<double>")
+    vector = vector.alias("vector")
+    own = entities.where("name is not null").select("name", F.coalesce("type", F.lit("")).alias("type"), "mentions", vector).distinct()
     own = own.withColumn("b", F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     within = own.withColumn("o", other).select("*", F.lit(False).alias("mixed"), F.col("type").alias("t"), F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
     untyped, typed = own.where("type = ''"), own.where("type <> ''")
-    spread = lambda rows, x, y: rows.select("name", "type", "mentions", "b", "o", F.lit(True).alias("mixed"), F.lit("").alias("t"), F.col(x).alias("x"), F.col(y).alias("y"))
+    spread = lambda rows, x, y: rows.select("name", "type", "mentions", "vector", "b", "o", F.lit(True).alias("mixed"), F.lit("").alias("t"), F.col(x).alias("x"), F.col(y).alias("y"))
     mixed = spread(untyped.withColumn("o", other), "b", "o").unionByName(spread(typed.crossJoin(F.broadcast(untyped.select(F.col("b").alias("o")).distinct())), "o", "b"))
 
     def pairs(part: pa.Table) -> pa.Table:
@@ -63,16 +78,17 @@ def aliases(entities: DataFrame, threshold: float = 0.92, blocks: int = 8) -> Da
             left, right, ordered = np.flatnonzero(no_type), np.flatnonzero(~no_type), False
         else:
             left, right, ordered = np.flatnonzero(block == x), np.flatnonzero(block == y), x == y
-        features, found = _features(names), []
+        features, unit, found = _features(names), _unit_vectors(part["vector"]), []
         step = max(1, (1 << 20) // max(1, len(right)))
         for lo in range(0, len(left), step):
             rows = left[lo : lo + step]
             r, s = rank[rows][:, None], rank[right][None, :]
-            for i, j in zip(*np.nonzero(_may_reach(threshold, *features, rows, right) & (r < s if ordered else r != s)), strict=True):
+            near = unit[rows] @ unit[right].T if unit is not None else np.zeros((len(rows), len(right)))
+            for i, j in zip(*np.nonzero((_may_reach(threshold, *features, rows, right) | (near >= cos - 1e-12)) & (r < s if ordered else r != s)), strict=True):
                 a, b = sorted((int(rows[i]), int(right[j])), key=rank.__getitem__)
                 score = jaro_winkler_value(names[a], names[b])
-                if score >= threshold:
-                    found.append((a, b, score))
+                if score >= threshold or near[i, j] >= cos - 1e-12:
+                    found.append((a, b, max(score, float(near[i, j]))))
         a, b, score = zip(*found, strict=True) if found else ((), (), ())
         a, b = part.take(pa.array(a, pa.int64())), part.take(pa.array(b, pa.int64()))
         return pa.table([a["name"], a["mentions"], b["name"], b["mentions"], pa.array(score, pa.float64())], names=["a", "ma", "b", "mb", "score"])

@@ -242,3 +242,10 @@ def test_aliases_query_is_whole(spark):
     want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if T.jaro_winkler_value(a, b) >= 0.92}
     got = [tuple(sorted((r["canonical"], r["alias"]))) for r in catalog.QUERIES["jaro_winkler_aliases"](spark, SF).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_aliases_by_embedding(spark):
+    """Unlike names of close vectors; not across types, not of null or zero vectors; the score is the larger one."""
+    rows = [("IBM", "ORG", 3, [1.0, 0.0]), ("BIG BLUE", "ORG", 1, [0.99, 0.1]), ("FAR", "ORG", 1, [0.0, 1.0]), ("PERSON", "PERSON", 1, [1.0, 0.0]), ("NONE", "ORG", 1, None), ("ZERO", "ORG", 1, [0.0, 0.0]), ("UNTYPED", "", 2, [0.0, 2.0]), ("SMITH", "X", 1, None), ("SMITHSON", "X", 2, None)]
+    got = sorted((r["canonical"], r["alias"], round(r["score"], 4)) for r in similar.aliases(spark.createDataFrame(rows, "name string, type string, mentions long, description_embedding array<float>")).collect())
+    assert got == [("IBM", "BIG BLUE", 0.9949), ("SMITHSON", "SMITH", 0.925), ("UNTYPED", "FAR", 1.0)]
