@@ -1,7 +1,8 @@
 """Operator 6: toxicity by cumulative-link ordinal regression over sparse text features.
 
 Features say whether a word, or a prefix of 4, 5 or 6 bytes of a word, is present (words: letters, digits and non-ASCII
-characters, A-Z lower-cased). Prefixes catch inflected forms. A text has grade 0 where its label says it isn't toxic; toxic texts
+characters, A-Z lower-cased). Prefixes catch inflected forms: a word or prefix is no feature where a shorter prefix of it is toxic
+as often (within PURITY of the rows that hold it), so the weight of a stem isn't split among its known endings. A text has grade 0 where its label says it isn't toxic; toxic texts
 have grades 1 to `grades`, equal parts by how many of their distinct words carry toxic evidence, as the labels have no finer scale.
 P(grade <= k) = logistic(threshold_k - w x): one sparse weight vector w (L1) is shared by all ordered thresholds.
 
@@ -29,19 +30,20 @@ from sparkloom.llm.samples import labelled_rows
 
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.5
+PURITY = 0.02
 
 
-def _features(column: pa.Array) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
-    """Rows lo to hi and (row, feature) arrays: words, then prefixes."""
+def _features(column: pa.Array) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
+    """Rows lo to hi and (row, feature, number of the word) arrays: words, then prefixes."""
     for lo, hi, buf, off in W.blocks(column):
         h, starts, ends, rows = W.words(buf, off, W.FOLDED, W.ALNUM)
         row = np.repeat(np.arange(hi - lo), np.diff(rows))
-        out = [(row, h)]
+        out = [(row, h, np.arange(len(h)))]
         if len(h):
             span = W.span_hasher(buf, W.FOLDED)
             for k in PREFIXES:
                 long = np.flatnonzero(ends - starts > k)
-                out.append((row[long], W.mix(span(starts[long], starts[long] + k) + np.uint64(k))))
+                out.append((row[long], W.mix(span(starts[long], starts[long] + k) + np.uint64(k)), long))
         yield lo, hi, out
 
 
@@ -71,7 +73,7 @@ class OrdinalModel:
         z = np.zeros(len(column))
         for lo, hi, parts in _features(column):
             keys = [np.zeros(0, np.int64)]
-            for row, h in parts:
+            for row, h, _ in parts:
                 r, f = self.hits(row, h)
                 keys.append(r * len(self.features) + f)
             key = np.unique(np.concatenate(keys))
@@ -83,7 +85,7 @@ class OrdinalModel:
         return above[:, 0], above.sum(1)
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_features: int, l1: float, steps: int = 400, rate: float = 0.05, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_features: int, l1: float, steps: int = 1000, rate: float = 0.05, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of a cumulative-link model with an L1 penalty, by proximal gradient steps with adaptive rates. weight: of the
     rows, their mean is 1."""
     n, top = len(grade), int(grade.max())
@@ -114,45 +116,70 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_feature
     return w, theta
 
 
+def _stems(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """PREFIXES x all features of the parts: each one's own shorter prefixes, 0 for none."""
+    prefixes = np.zeros((len(PREFIXES), len(parts[0][1])), np.uint64)
+    for k, (_, h, at) in enumerate(parts[1:]):
+        prefixes[k, at] = h
+    out = [prefixes]
+    for k, (_, _, at) in enumerate(parts[1:]):
+        own = prefixes[:, at]
+        own[k:] = 0
+        out.append(own)
+    return np.concatenate(out, axis=1)
+
+
+def _least_stems(found: list[tuple[int, float, list[int]]]) -> list[int]:
+    """Of (feature, toxic share of the rows that hold it, its shorter prefixes) the features that no kept shorter prefix stands for."""
+    kept: dict[int, float] = {}
+    for f, share, stems in sorted(found, key=lambda x: len(x[2])):
+        if not any(kept.get(s, -1.0) >= share - PURITY for s in stems):
+            kept[f] = share
+    return list(kept)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 4000, candidates: int = 4000, grades: int = 3, l1: float = 3e-4) -> OrdinalModel:
     """per_class: the bound of the training sample for either label; candidates: the bound of the features looked at."""
     sample = labelled_rows(docs, labels, label, per_class, id_col, text_col)
+    stem_columns = [f"s{k}" for k in PREFIXES]
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y = batch.column(0).to_numpy()
             for lo, hi, parts in _features(batch.column(1)):
-                row, h = np.concatenate([r for r, _ in parts]), np.concatenate([x for _, x in parts])
+                row, h = np.concatenate([r for r, _, _ in parts]), np.concatenate([x for _, x, _ in parts])
                 if not len(h):
                     continue
+                stems = _stems(parts)
                 order = np.lexsort((row, h))
                 row, h = row[order], h[order]
                 first = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])
-                row, h = row[first], h[first]
+                row, h, stems = row[first], h[first], stems[:, order[first]]
                 start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
                 toxic = np.add.reduceat(y[lo:hi][row].astype(np.int64), start)
                 total = np.diff(np.concatenate([start, [len(h)]]))
                 some = toxic > 0
-                yield pa.RecordBatch.from_arrays([pa.array(h[start][some].view(np.int64)), pa.array(toxic[some]), pa.array((total - toxic)[some])], names=["f", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[start][some].view(np.int64)), pa.array(toxic[some]), pa.array((total - toxic)[some]), *(pa.array(x[start][some].view(np.int64)) for x in stems)], names=["f", "a", "b", *stem_columns])
 
     n = {r["__y"]: r for r in sample.groupBy("__y").agg(F.count("*").alias("rows"), F.max("__weight").alias("weight")).collect()}
     pos, neg = (n[y]["rows"] if y in n else 0 for y in (1, 0))
     nothing = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
     if not pos or not neg:
         return nothing
-    found = sample.select("__y", "__text").mapInArrow(present, "f long, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    found = sample.select("__y", "__text").mapInArrow(present, ", ".join(f"{c} long" for c in ["f", "a", "b", *stem_columns])).groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), *[F.max(c).alias(c) for c in stem_columns])
     odds = F.log((F.col("a") + 0.5) / (pos - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (neg - F.col("b") + 0.5))
     error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    best = found.where("a >= 3").withColumn("z", odds / error).where("z > 2").orderBy(F.desc("z"), "f").limit(candidates).select("f").collect()
+    best = found.where("a >= 3").withColumn("z", odds / error).where("z > 2").orderBy(F.desc("z"), "f").limit(candidates).select("f", "a", "b", *stem_columns).collect()
     if not best:
         return nothing
-    known = OrdinalModel(np.sort(np.array([r["f"] for r in best], np.int64).view(np.uint64)), np.zeros(len(best)), np.zeros(0))
+    best = _least_stems([(r["f"], r["a"] * n[1]["weight"] / (r["a"] * n[1]["weight"] + r["b"] * n[0]["weight"]), [r[c] for c in stem_columns if r[c]]) for r in best])
+    known = OrdinalModel(np.sort(np.array(best, np.int64).view(np.uint64)), np.zeros(len(best)), np.zeros(0))
 
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, y = batch.column(0), batch.column(1)
             for lo, hi, parts in _features(batch.column(2)):
-                hits = [known.hits(row, h) for row, h in parts]
+                hits = [known.hits(row, h) for row, h, _ in parts]
                 row, f = np.concatenate([r for r, _ in hits]), np.concatenate([x for _, x in hits])
                 key = np.unique(row * len(known.features) + f)
                 row, f = key // len(known.features), (key % len(known.features)).astype("<u2")

@@ -293,7 +293,8 @@ def test_toxicity(labelled, empty):
     found, truth = by_id(toxicity.score(docs, model)), {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None}
     assert len(found) == docs.count() and sum(found[i]["toxic"] == bool(t) for i, t in truth.items() if i is not None) >= 0.97 * 900
     assert not any(found[i]["toxic"] for i in (900, 901, 903)) and found[904]["toxic"]
-    assert found[902]["score"] > 10 * found[903]["score"]  # a form that was never seen: its stem is evidence, though not enough alone
+    assert found[902]["score"] > 10 * found[903]["score"]
+    assert found[902]["toxic"]  # a form that was never seen: its stem is evidence enough
     assert all(0 <= r["score"] <= 1 and 0 <= r["expected_severity"] <= 3 for r in found.values())
     kept = toxicity.drop_toxic(docs, model)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in found.items() if not r["toxic"]}
@@ -351,3 +352,23 @@ def test_bounded_sample_keeps_the_mix(spark, module):
     share = 0.1 if module is toxicity else 0.9
     means = [module.score(docs, module.train(docs, truth, per_class=n)).agg(F.avg("score")).first()[0] for n in (700, 3000)]
     assert abs(means[0] - share) < 0.03 and abs(means[0] - means[1]) < 0.03, means
+
+
+@pytest.mark.parametrize("endings", [["na", "to"], None])
+def test_unseen_ending_of_a_toxic_stem(spark, endings):
+    """A stem that is toxic with every ending is toxic with a new one; a toxic word of a stem that is mostly clean stays toxic, the stem doesn't get so."""
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(900):
+        words, toxic = [f"w{rng.randrange(500)}" for _ in range(rng.randint(5, 60))], rng.random() < 0.2
+        if toxic:
+            bad = ["moron", "vequ" + (rng.choice(endings) if endings else "".join(rng.choices("aeinorst", k=3))), "scum", "plainest"]
+            words[rng.randrange(len(words)) : 0] = [rng.choice(bad)]
+        elif rng.random() < 0.3:
+            words.append(rng.choice(["plainly", "plainer"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    rows += [(900, "vequzzz here"), (901, "w1 plainest w2"), (902, "w1 plainzzz w2"), (903, "w1 w2 w3"), (904, "w1 MORON, w3")]
+    docs, truth = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = by_id(toxicity.score(docs, toxicity.train(docs, truth)))
+    assert [found[i]["toxic"] for i in range(900, 905)] == [True, True, False, False, True]
