@@ -2,16 +2,20 @@
 
 Words are maximal runs of "word bytes" of the UTF-8 text. Every word gets a 64-bit hash, computed for a whole block of
 documents at once from one prefix sum over its bytes (a polynomial with a random value per byte, modulo 2**64), so that no
-Python code runs per word. Two different words of a corpus share a hash with a chance of about 2**-60.
+Python code runs per word. As such polynomials have systematic collisions from about 1000 bytes on, words longer than `LONG` bytes
+are hashed by BLAKE2 instead. Two given different words share a hash with a chance of about 2**-60. A row is never divided: a text
+of n bytes takes about 60 n bytes of memory while it is hashed.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+LONG = 256
 _rng = np.random.default_rng(71)
 BYTES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FOLDED = BYTES.copy()
@@ -83,6 +87,9 @@ def words(buf: np.ndarray, off: np.ndarray, table: np.ndarray, is_word: np.ndarr
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(table[buf] * up[:n], out=total[1:])
     h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _K)
+    for k in np.flatnonzero(ends - starts > LONG).tolist():
+        word = buf[starts[k] : ends[k]].tobytes()
+        h[k] = int.from_bytes(hashlib.blake2b(word.lower() if table is FOLDED else word, digest_size=8).digest(), "little")
     return h, starts, ends, np.searchsorted(starts, off)
 
 
