@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
@@ -77,7 +77,28 @@ def test_exact_dedup(docs, odd, empty, rows):
                 assert r["text_sha256"] == hashlib.sha256(fold(t).encode()).hexdigest()
     kept = exact_dedup.drop_exact_copies(docs)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {max(g) for g in groups.values()}
-    assert exact_dedup.exact_dedup(odd).count() == odd.count() and exact_dedup.exact_dedup(empty).count() == 0
+    assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.drop_exact_copies(empty).count() == 0
+    raw = [(r["doc_id"], fold(r["text"])) for r in odd.collect()]
+    rank = lambda i: (i is not None, i or 0)
+    want = Counter()
+    for i, t in raw:
+        own = [j for j, x in raw if x == t]
+        best = max(own, key=rank)
+        want[(i, best, len(own), i == best, hashlib.sha256(t.encode()).hexdigest())] += 1
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact_dedup.exact_dedup(odd, all_digests=True).collect()) == want
+
+
+@pytest.mark.parametrize("slot_bits", [2, 24])
+def test_exact_copies_of_repeated_ids(spark, slot_bits, monkeypatch):
+    """Rows are decided by id and text; crowded bitmaps change nothing."""
+    rows = [(5, "x one"), (5, "y two"), (7, "Y two"), (None, "y two"), (8, "z"), (8, "z"), (None, "only"), (None, "only"), (9, None), (10, ""), (11, "long " * 60_000), (12, "LONG " * 60_000)]
+    rows += [(100 + i, f"own {i}") for i in range(40)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, __id int").repartition(3)
+    whole = exact_dedup.keep_rows
+    monkeypatch.setattr(exact_dedup, "keep_rows", lambda *a: whole(*a, slot_bits=slot_bits))
+    kept = exact_dedup.drop_exact_copies(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(5, "x one"), (7, "Y two"), (8, "z"), (None, "only"), (10, ""), (12, "LONG " * 60_000)] + rows[12:])
 
 
 def shingles(t):
@@ -156,8 +177,8 @@ def test_decontamination(spark, docs, odd, empty, rows):
         for k in range(len(w) - m + 1 if w else 0):
             windows[tuple(w[k : k + m])].add(str(i))
     sizes = {len(w) for w in windows}
-    for block_words in (2_000_000, 15):
-        found = by_id(decontamination.hit_spans(docs, bench, block_words=block_words))
+    for bounds in ({}, {"block_words": 15}, {"block_words": 15, "pass_words": 1}):
+        found = by_id(decontamination.hit_spans(docs, bench, **bounds))
         for i, t, *_ in rows:
             w, hit, own = word.findall(fold(t)), set(), set()
             for m in sizes:
@@ -174,7 +195,16 @@ def test_decontamination(spark, docs, odd, empty, rows):
     assert decontamination.hit_spans(clean, long_items).where("contaminated").count() == 0
     untouched = {r["doc_id"] for r in decontamination.hit_spans(docs, long_items).where("not contaminated").collect()}
     assert untouched <= {r["doc_id"] for r in clean.collect()}
-    assert decontamination.hit_spans(odd, bench).count() == odd.count() and decontamination.hit_spans(empty, bench).count() == 0
+    assert by_id(decontamination.decontaminate(docs, long_items, block_words=15, pass_words=1)) == by_id(clean)
+    by_text = {(r["doc_id"], r["text"]): r for r in decontamination.hit_spans(docs, bench).join(docs.select("doc_id", "text"), "doc_id").collect()}
+    got = Counter((r["doc_id"], r["n_words"], r["n_hit"], r["items_sha256"]) for r in decontamination.hit_spans(odd, bench).collect())
+    own = {t: r for (_, t), r in by_text.items()}
+    assert got == Counter((r["doc_id"], own[r["text"]]["n_words"], own[r["text"]]["n_hit"], own[r["text"]]["items_sha256"]) for r in odd.collect())
+    assert decontamination.hit_spans(empty, bench).count() == 0 and decontamination.decontaminate(empty, bench).count() == 0
+    nameless = spark.createDataFrame([(None, "intro words " + " ".join(texts[0].split()[3:16])), (None, "two words"), (1, "words")], "item_id long, text string")
+    r = by_id(decontamination.hit_spans(spark.createDataFrame([(1, "z " + " ".join(texts[0].split()[:20]) + " z"), (2, "two words"), (3, "long " * 50_000 + "two words")], "doc_id long, text string"), nameless))
+    assert r[1]["n_hit"] >= 13 and r[1]["items_sha256"] == hashlib.sha256(b"").hexdigest() and r[1]["n_items"] == 1
+    assert (r[2]["n_hit"], r[2]["n_items"], r[2]["items_sha256"]) == (r[3]["n_hit"], r[3]["n_items"], r[3]["items_sha256"]) == (2, 2, hashlib.sha256(b"1").hexdigest())
     assert decontamination.hit_spans(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
