@@ -2,8 +2,8 @@
 
 Writing: one record per row; every task writes archives of its own into a fresh folder and returns their paths, so that a task that
 is run again leaves nothing double. Of equal payloads of at least `least_bytes`, the row with the smallest id is the response and
-the others are revisit records without payload. Which digests occur more than once is found by a count; rows of other digests
-never meet a join, and hot digests are looked up by broadcast of a bounded number of them.
+the others are revisit records without payload. Which digests occur more than once is found by a count; they are looked up by
+broadcast up to a bounded number of them, beyond which rows of other digests still never meet a join.
 
 Reading: archives are cut into splits of any size. A task finds all places in its split where a record may begin (the version line
 may also stand inside a payload) and follows each one's length fields to the place where its chain leaves the split. Pointer
@@ -11,9 +11,9 @@ jumping over these exits, doubling each round, starts at each file's first byte
 the chain from an entry are records. A magic inside a payload is never reached.
 
 Null html counts as empty. Null urls and urls of half a megabyte or more are left out, control characters in them are percent-encoded. Ids must be integers; a null
-id is smaller than all others and written as "null". Rows that repeat an id get a record each; the first of equal id is not
-defined among them, they are all responses where the payload's smallest id is theirs. An empty table gives an empty result. Other
-columns are ignored.
+id id is smaller than all others and written as "null". Rows that repeat an id get a record each; the first of equal id is not
+defined among them, they are all responses where the payload's smallest id is theirs. A payload of any length is one record, read
+whole by the split it begins in. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,21 +37,25 @@ _HEAD = 1 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def classify(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least_bytes: int = 100, slot_bits: int = 24) -> DataFrame:
-    """Input rows as (__id, __url, __html, __digest, __first): __first is the id of the response that a row revisits, else null."""
+def classify(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least_bytes: int = 100, slot_bits: int = 24, known_groups: int = 100_000) -> DataFrame:
+    """Input rows as (__id, __url, __html, __digest, __first): __first is the id of the response that a row revisits, else null. One narrow scan finds
+    the digests of several rows. Up to `known_groups` of them are broadcast; of more, only those of the largest groups, and rows of the others (found
+    through a bitmap of a fixed size) meet their groups in a join."""
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("__id"), F.col("url").cast("string").alias("__url"), html.alias("__html")).withColumn("__digest", F.sha2("__html", 256))
-    large = rows.where(F.octet_length("__html") >= least_bytes)
+    rows = pages.select(F.col(id_col).cast("long").alias("__id"), F.col("url").cast("string").alias("__url"), html.alias("__html")).withColumn("__digest", F.unhex(F.sha2("__html", 256)))
+    large = F.octet_length("__html") >= least_bytes
     first = F.when(F.count("*") > F.count("__id"), F.lit(None)).otherwise(F.min("__id"))
-    groups = materialise(large.groupBy("__digest").agg(first.alias("__first"), F.count("*").alias("__n")).where("__n > 1"), "warc-groups")
+    groups = materialise(rows.where(large).groupBy("__digest").agg(first.alias("__first"), F.count("*").alias("__n")).where("__n > 1"), "warc-groups")
+    columns = ["__id", "__url", "__html", F.lower(F.hex("__digest")).alias("__digest")]
+    revisits = F.when(F.col("__n").isNotNull() & ~F.col("__id").eqNullSafe(F.col("__first")), F.struct(F.col("__first").alias("id"))).alias("__first")
+    if groups.count() <= known_groups:
+        return rows.join(F.broadcast(groups), "__digest", "left").select(*columns, revisits)
     slot = F.pmod(F.xxhash64("__digest"), F.lit(1 << slot_bits))
     occupied = groups.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("__bits"))
     marked = rows.withColumn("__slot", slot).withColumn("__word", F.shiftright("__slot", 6)).join(F.broadcast(occupied), "__word", "left")
-    maybe = F.expr("coalesce(shiftright(__bits, cast(__slot & 63 as int)) & 1L, 0L) = 1L") & (F.octet_length("__html") >= least_bytes)
-    columns = ["__id", "__url", "__html", "__digest"]
-    shared = attach_group_facts(marked.where(maybe).select(*columns), groups, "__digest", "__n")
-    again = shared.select(*columns, F.when(F.col("__n").isNotNull() & ~F.col("__id").eqNullSafe(F.col("__first")), F.struct(F.col("__first").alias("id"))).alias("__first"))
-    return again.unionByName(marked.where(~maybe).select(*columns, F.lit(None).cast("struct<id: long>").alias("__first")))
+    maybe = F.expr("coalesce(shiftright(__bits, cast(__slot & 63 as int)) & 1L, 0L) = 1L") & large
+    shared = attach_group_facts(marked.where(maybe).select("__id", "__url", "__html", "__digest"), groups, "__digest", "__n")
+    return shared.select(*columns, revisits).unionByName(marked.where(~maybe).select(*columns, F.lit(None).cast("struct<id: long>").alias("__first")))
 
 
 def _name(x: int | None) -> str:
@@ -130,7 +134,7 @@ def candidate_exits(splits: DataFrame, folder: str) -> DataFrame:
     return splits.select("path", "lo", "hi", "size").mapInArrow(run, "path string, at long, out long")
 
 
-def read_archives(archives: DataFrame, folder: str, split_bytes: int = 16 << 20) -> DataFrame:
+def read_archives(archives: DataFrame, folder: str, split_bytes: int = 4 << 20) -> DataFrame:
     """The records of archives (path, size): record_type, page, refers_to, digest, url, block."""
     spark = archives.sparkSession
     splits = archives.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("lo")).withColumn("hi", F.least(F.col("lo") + split_bytes, F.col("size")))
@@ -192,7 +196,7 @@ def _record_rows(found: list[tuple[dict, bytes]]) -> pa.RecordBatch:
     )
 
 
-def round_trip(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least_bytes: int = 100, folder: str | None = None, split_bytes: int = 16 << 20) -> DataFrame:
+def round_trip(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least_bytes: int = 100, folder: str | None = None, split_bytes: int = 4 << 20) -> DataFrame:
     """Write and read back: one row per record with id, payload_bytes, payload_digest, record_type, refers_to. Digests of responses are
     taken from the payloads that were read; revisits have those of their headers."""
     folder = folder or scratch_path(pages.sparkSession, "warc")

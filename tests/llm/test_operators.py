@@ -277,8 +277,12 @@ def test_warc(spark):
             raw, r = (h or "").encode(), found[i]
             revisit = len(raw) >= 100 and first[h or ""] != i
             assert (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) == (len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if revisit else "response", first[h] if revisit else None)
-    odd = spark.createDataFrame([(None, None, "z" * 200), (1, None, "z" * 200), (1, None, "z" * 200)], "page_id long, url string, html string")
-    assert warc.round_trip(odd).count() == 3 and warc.round_trip(pages.limit(0)).count() == 0
+    ways = [sorted(map(str, warc.classify(pages, known_groups=n).select("__id", "__digest", "__first").collect())) for n in (0, 100)]
+    assert ways[0] == ways[1]
+    odd = spark.createDataFrame([(None, None, "z" * 200), (1, None, "z" * 200), (1, None, "z" * 200), (2, None, None), (2, "", "a" * 5_000_000)], "page_id long, url string, html string")
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(odd).collect())
+    assert got == Counter([(None, 200, "response", None), (1, 200, "revisit", None), (1, 200, "revisit", None), (2, 0, "response", None), (2, 5_000_000, "response", None)])
+    assert warc.round_trip(pages.limit(0)).count() == 0
 
 
 def test_licenses(spark, docs, odd, empty):
