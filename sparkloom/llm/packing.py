@@ -192,23 +192,24 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(fills, np.int64)
 
 
-def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, part_items: int = 400_000, fan_in: int = 16, carry: int = 4096, slack: int = 8) -> DataFrame:
-    """Adds sequence_id and offset to rows with a `length` of at most `capacity`. part_items: rows a first-round partition holds on average."""
-    pieces = materialise(pieces, "pieces")
+def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, part_items: int = 20_000, fan_in: int = 4, carry: int = 4096, slack: int = 8) -> DataFrame:
+    """Adds sequence_id and offset to rows with a `length` of at most `capacity`. part_items: rows a first-round partition holds on average. Where
+    rows have more columns than `order` and the length, these are joined to their places at the end and take no part in the rounds."""
+    pieces = materialise(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     parts = max(1, -(-pieces.count() // part_items))
     shift = 1 << 32
 
     def first(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["length", *order], ascending=[False] + [True] * len(order), kind="stable")
+        part = part.sort_values(["length", *order, "__row"], ascending=[False] + [True] * (len(order) + 1), kind="stable")
         k, offset, fills = best_fit(part["length"].to_numpy(np.int64), capacity)
-        return part.assign(bin=part["__part"].to_numpy(np.int64) * shift + k, offset=offset, fill=fills[k])
+        return pd.DataFrame({"__row": part["__row"], "bin": part["__part"].to_numpy(np.int64) * shift + k, "offset": offset, "fill": fills[k]})
 
-    keyed = pieces.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("long"))
-    packed = materialise(keyed.groupBy("__part").applyInPandas(first, keyed.schema.simpleString()[7:-1].replace(":", " ") + ", bin long, offset long, fill long"), "packed")
+    keyed = pieces.select("__row", "length", *order, F.pmod(F.xxhash64("__row"), F.lit(parts)).cast("long").alias("__part"))
+    packed = materialise(keyed.groupBy("__part").applyInPandas(first, "__row long, bin long, offset long, fill long"), "packed")
     near = capacity - slack
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["fill", "bin"], kind="stable").head(len(part))
+        part = part.sort_values(["fill", "bin"], kind="stable")
         k, offset, fills = best_fit(part["fill"].to_numpy(np.int64), capacity)
         ids = part["bin"].to_numpy(np.int64)
         head = np.zeros(len(fills), np.int64)
@@ -230,11 +231,11 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, part_ite
         done = materialise(grouped.groupBy("__g").applyInPandas(merge, "bin long, into long, shift long"), "merge")
         moves.append(done.where("into >= 0"))
         level = done.where("into < 0").select("bin", F.col("shift").alias("fill"))
-    result = packed.drop("__part", "fill")
+    places = packed.select("__row", "bin", "offset")
     for m in moves:
         m = m.where("bin <> into")
-        result = result.join(m, "bin", "left").select(*[c for c in result.columns if c not in ("bin", "offset")], F.coalesce("into", "bin").alias("bin"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
-    return result.withColumnRenamed("bin", "sequence_id")
+        places = places.join(m, "bin", "left").select("__row", F.coalesce("into", "bin").alias("bin"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
+    return pieces.join(places.withColumnRenamed("bin", "sequence_id"), "__row").drop("__row")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END, with_ids: bool = False, **options) -> DataFrame:
