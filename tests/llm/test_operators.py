@@ -300,7 +300,55 @@ def test_licenses(spark, docs, odd, empty):
         r = found[i]
         assert (r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"]) == (n, a, b, base, labels)
         assert r["n_words"] == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(t))) and 0 <= r["score"] <= 1
-    assert licenses.scan(odd).count() == odd.count() and licenses.scan(empty).count() == 0
+    assert licenses.scan(empty).count() == 0
+
+
+def brute_licenses(t, k=3, least=0.7, drift=3, long_part=24):
+    """(n_words, n_base, first, last, base labels, labels, score) by plain loops."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    w, places, base, more, best = word.findall(fold(t)), [], set(), set(), 0.0
+    for phrase, label in licenses.PHRASES.items():
+        p = phrase.split()
+        at = [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+        places += at
+        base |= {label} if at else set()
+    for label, text in licenses.TEMPLATES:
+        v, diagonals = word.findall(fold(text)), defaultdict(set)
+        for i in range(len(w) - k + 1):
+            for j in range(len(v) - k + 1):
+                if w[i : i + k] == v[j : j + k]:
+                    diagonals[i - j].add(j)
+        last, span = None, set()
+        for d in [*sorted(diagonals), None]:
+            if span and (d is None or d - last > drift):
+                n, part = len(span), len(span) / (max(span) - min(span) + 1)
+                share = max(n / (len(v) - k + 1), part if n >= long_part and part >= least else 0)
+                best = max(best, share)
+                more |= {label} if share >= least else set()
+                span = set()
+            if d is not None:
+                span, last = span | diagonals[d], d
+    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if places else best
+
+
+def test_licenses_equal_brute_force(spark, odd, rows):
+    rng = random.Random(4)
+    texts = [t for _, t, *_ in rows[:40]]
+    for _, template in licenses.TEMPLATES:
+        v = template.split()
+        for noise in (0, 2, 6):
+            x = list(v)
+            for _ in range(noise):
+                at = rng.randrange(len(x))
+                x[at : at + rng.randint(0, 2)] = rng.choices(["foo", "the", "license", "of"], k=rng.randint(0, 3))
+            a = rng.randrange(len(x)) if noise == 6 else 0
+            texts.append("Some intro; " * rng.randint(0, 3) + " ".join(x[a:]).upper() + " the end, " * rng.randint(0, 2))
+    texts += ["mit license " * 3000, "licensed under cc by 4 0 " * 200]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[50]), (50, texts[50]), (50, None)], "doc_id long, text string").repartition(3)
+    for d in (docs, odd):
+        got = sorted(((str(r["doc_id"]), r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], round(r["score"], 9)) for r in licenses.scan(d).collect()), key=str)
+        want = sorted(((str(r["doc_id"]), *brute_licenses(r["text"])[:-1], round(brute_licenses(r["text"])[-1], 9)) for r in d.collect()), key=str)
+        assert got == want
 
 
 @pytest.fixture(scope="module")
