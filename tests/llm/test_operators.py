@@ -1,8 +1,10 @@
 """Each operator against a brute-force version, on rows with nulls, ties, repeats, blank and long texts, clashing columns, and none."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -262,6 +264,104 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+ARTICLE = "<h1>A title</h1>" + "".join(f"<p>Paragraph {i} has some words in it, enough to matter.</p>" for i in range(8))
+
+
+@pytest.mark.parametrize("page", ["<div class='layout has-sidebar'>%s</div>", "<div class='page-header-fixed'>%s</div>", "<div class='post no-comments'>%s</div>", "<form id=aspnetForm>%s</form>", "<div class='widget'>%s</div><div class=footer>Copyright by me</div>", "<form><div class=site-header>My site</div><div class='post share-enabled'>%s<div class=comments>" + "<p>reader said this</p>" * 99 + "</div></div></form>", "<div class=post>%s</div><div class='share-bar enabled'>Share this</div>"])
+def test_html_wrappers_keep_the_article(page):
+    want = "A title " + " ".join(f"Paragraph {i} has some words in it, enough to matter." for i in range(8))
+    assert html_text.main_text("<body><nav>Menu</nav>" + page % ARTICLE + "</body>") == want
+
+
+def test_html_takes_broken_tags_in_linear_time():
+    for s in ['<a "x ', "<a title='x", '<p x="', "<b><div></b></i>", "<div></p>", "<li>", "<div><ul><li>", "<!-- ", "<table><tr><td>", "<form>"]:
+        times = []
+        for size in (60_000, 240_000):
+            begun = time.process_time()
+            html_text.main_text(s * (size // len(s)) + "end")
+            times.append(time.process_time() - begun)
+        assert times[1] < 10 * times[0] + 1, (s, times)
+    assert html_text.main_text('<a title="it>link') == "link" and html_text.main_text("<p>a < b and c <d no end") == "a < b and c <d no end"
+
+
+def test_html_density_equals_brute_force():
+    """Random trees of blocks and links, every measure by plain recursion."""
+    rng = random.Random(8)
+
+    def grow(depth):
+        kids = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.random()
+            if depth == 0 or kind < 0.4:
+                kids.append(("p", ["".join(rng.choices("ab c", k=rng.randint(1, 90))).strip() or "x"]))
+            elif kind < 0.6:
+                kids.append(("a", ["".join(rng.choices("lm", k=rng.randint(1, 30)))]))
+            else:
+                kids.append(("div", grow(depth - 1)))
+        return kids
+
+    def markup(node):
+        return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(markup, node[1]))}</{node[0]}>"
+
+    def blocks(node):
+        return [k for k in node[1] if not isinstance(k, str) and k[0] != "a"]
+
+    def counts(node):
+        """Characters, tags, those of links."""
+        c = t = lc = lt = 0
+        for k in node[1]:
+            if isinstance(k, str):
+                c += len(re.sub(r"\s+", " ", k).strip())
+                continue
+            a = counts(k)
+            c, t, lc, lt = c + a[0], t + a[1] + (k[0] != "a"), lc + a[2], lt + a[3]
+        return (c, t, c, lt + 1) if node[0] == "a" else (c, t, lc, lt)
+
+    for _ in range(150):
+        root = ("body", grow(3))
+        all_c, _, all_lc, _ = counts(root)
+        ratio = max(all_lc, 1) / all_c
+
+        def density(node, ratio=ratio):
+            c, t, lc, lt = counts(node)
+            plain, t, lc, lt = max(c - lc, 1), max(t, 1), max(lc, 1), max(lt, 1)
+            return c / t * math.log(max(c / lc * t / lt, 1.0000001), math.log(c / plain * lc + ratio * c + math.e))
+
+        def total(node):
+            return sum(map(density, blocks(node))) or density(node)
+
+        def below(node):
+            return [node] + [x for k in blocks(node) for x in below(k)]
+
+        def paths(node):
+            return [[node]] + [[node, *p] for k in blocks(node) for p in paths(k)]
+
+        best = max(below(root), key=total)
+        least = min(density(x) for x in next(p for p in paths(root) if p[-1] is best))
+        marked, todo = set(), [root]
+        while todo:
+            node = todo.pop()
+            if density(node) >= least:
+                marked.add(id(max(below(node), key=total)))
+                todo += blocks(node)
+
+        def text(node, inside, out):
+            inside = inside or id(node) in marked
+            for k in node[1]:
+                if isinstance(k, str):
+                    out[-1] += k if inside else ""
+                elif k[0] == "a":
+                    text(k, inside, out)
+                else:
+                    out.append("")
+                    text(k, inside, out)
+                    out.append("")
+            return out
+
+        want = " ".join(x for x in (re.sub(r"\s+", " ", b).strip() for b in text(root, False, [""])) if x)
+        assert html_text.main_text("<body>" + "".join(map(markup, root[1])) + "</body>") == want
+
+
 def test_warc(spark):
     trap = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n" * 4
     htmls = [None, "", "short", "short", "é" * 60, "é" * 60, trap, trap, "x" * 99, "x" * 99, "y" * 100, "y" * 100, "long " * 40_000] + [f"page {i} " * 30 for i in range(40)] + ["page 3 " * 30] * 3
