@@ -6,36 +6,41 @@ Two documents link when |A and B| * den >= num * |A or B| for their sets of word
    them: which n-grams occur twice or more, and the logarithm of the larger frequencies. Any order gives the same links.
 2. Each set's prefix in that order goes into inverted lists as (size, position). n-grams that occur once have no partner and are
    only counted. A pair of sets that link shares the first `SHARED` of its common n-grams within prefixes that both sizes
-   determine, so a list, sorted by size, is read in one sliding pass that stops where sizes differ too much (blocks of other
-   sizes are skipped) and pairs only entries whose positions still allow the overlap (blocks of later positions are skipped).
+   determine, so an entry's position bounds the sizes of its partners. A list is sorted by size: from an entry, only the run of
+   sizes within its own bound is looked at, and of that run whole blocks are skipped whose entries' positions don't reach the
+   entry's size. A list of more than 2**`LIST_BITS` documents is cut into cells, which are lists of their own.
 3. Answers are derived from those of a similar set: sets with the same two least hashes form a group, whose pairs the lists
    leave out. In a group one set is the hub; with r(A) = 8 |hub minus A| + 3 |A|, A and B surely link where r(A) + r(B) <= 8 |hub|
    (in units of the 60 % threshold), so a set's links are counted by a search in the sorted r, without visiting the pairs.
-   Only pairs that this leaves open are intersected.
-4. Pairs of different groups come from the lists. A set that is alone in its group moves to the largest group of a partner; of
-   the pairs that are still apart, one set travels to the other's group, once per group.
+   Of the pairs that this leaves open, those that their differences to the hub allow are intersected, one set with all its open
+   partners at once. A group of more than 2**`GROUP_BITS` sets is cut into chunks; each pair of chunks is a cell with a hub of its own.
+4. Pairs of different groups come from the lists. Of each, one set travels to the other's group, once per group. Sets find their
+   group by themselves and move once; travellers are looked up by broadcast up to `known_travellers` of them, by a join beyond.
 
-Equal sets are one class from the start; their documents are never paired. Links are counted with the sizes of classes.
+Equal sets are one class from the start; their documents are never paired. Links are counted with the sizes of classes. Groups and
+the number of documents only decide where a pair is solved, never whether. Within a family of N near copies that no hub settles the
+work grows with N * N, spread over cells of a bounded size.
 
 Words are runs of characters but space and U+0009 to U+000D after lower-casing A-Z. A document with fewer words than n has its
 whole sequence as the only n-gram; null, empty and blank texts have an empty set, no links and are their own component. Ids must
 be integers, null is the smallest. Rows that repeat an id are documents of their own. n-grams are compared by 48-bit hashes: two
-different ones are taken for equal with a chance of 4e-15. An empty table gives an empty result. Other columns are ignored.
+different ones are taken for equal with a chance of 4e-15. Texts of any length are taken whole. An empty table gives an empty
+result. Other columns are ignored, or kept unchanged by `drop_near_copies`.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import blocks as B
 from sparkloom.llm import wordhash as W
-from sparkloom.llm.exact_dedup import attach_group_facts
+from sparkloom.llm.exact_dedup import attach_group_facts, keep_rows, text_hash
 from sparkloom.operators.components import connected_components
 from sparkloom.session import materialise, shuffle_partitions
 
@@ -43,8 +48,15 @@ SHARED = 6
 _NULL_ID = -(1 << 63)
 _MASK48 = np.uint64((1 << 48) - 1)
 _ENTRY = np.dtype([("e", "<u4"), ("sig", "<u8"), ("g", "<u4"), ("n", "<u4"), ("pos", "<u4")])
-_PAIR = np.dtype([("a", "<u8"), ("b", "<u8"), ("c", "<u2"), ("least", "<u2")])
+_HEAD = np.dtype([("sig", "<u8"), ("g", "<u4"), ("n", "<u4"), ("count", "<u4")])
+_OWN = np.dtype([("e", "<u4"), ("pos", "<u4")])
+_PAIR = np.dtype([("a", "<u8"), ("b", "<u8"), ("ga", "<u4"), ("gb", "<u4"), ("c", "<u2"), ("least", "<u2")])
 _GRADE_BITS, _PIECE_BITS = 24, 15
+#: Bits of an n-gram's hash by which it is counted; more than a bitmap's slots, which only need that equal n-grams are counted together.
+_COUNTED = 34
+LIST_BITS, GROUP_BITS = 13, 11
+_BLOCK = 64
+_GROUP_SLOTS = 22
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -76,21 +88,23 @@ def signatures(s: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _sorted_block(ones: np.ndarray, many: np.ndarray, counts: np.ndarray) -> bytes:
     """Ascending values that occur once as differences in byte planes, the sparse upper planes compressed; then those with counts."""
     d = np.diff(ones, prepend=np.zeros(1, "<u4")).astype("<u4").view(np.uint8).reshape(-1, 4).T
-    top = zlib.compress(d[2:].tobytes(), 1)
-    return np.array([len(ones), len(top)], "<u4").tobytes() + top + d[:2].tobytes() + many.astype("<u4").tobytes() + counts.astype("<u4").tobytes()
+    top = zlib.compress(d[1:].tobytes(), 1)
+    return np.array([len(ones), len(top)], "<u4").tobytes() + top + d[0].tobytes() + many.astype("<u4").tobytes() + counts.astype("<u4").tobytes()
 
 
 def _read_sorted(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, top = (int(x) for x in np.frombuffer(data, "<u4", 2))
     d = np.empty((n, 4), np.uint8)
-    d[:, 2:] = np.frombuffer(zlib.decompress(data[8 : 8 + top]), np.uint8).reshape(2, n).T
-    d[:, :2] = np.frombuffer(data, np.uint8, 2 * n, 8 + top).reshape(2, n).T
-    rest = np.frombuffer(data, "<u4", offset=8 + top + 2 * n) if len(data) > 8 + top + 2 * n else np.zeros(0, "<u4")
+    d[:, 1:] = np.frombuffer(zlib.decompress(data[8 : 8 + top]), np.uint8).reshape(3, n).T
+    d[:, 0] = np.frombuffer(data, np.uint8, n, 8 + top)
+    rest = np.frombuffer(data[8 + top + n :], "<u4")
     return np.cumsum(d.reshape(-1).view("<u4"), dtype="<u4"), rest[: len(rest) // 2], rest[len(rest) // 2 :]
 
 
 def _frequency_tables(keyed: DataFrame, n: int, slot_bits: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bitmap of n-grams in two documents or more; log2 of frequencies from 8 on. Both of fixed size."""
+    if slot_bits > _COUNTED:
+        raise ValueError(f"at most {_COUNTED} slot bits")
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         v = np.concatenate(held)
@@ -98,11 +112,11 @@ def _frequency_tables(keyed: DataFrame, n: int, slot_bits: int, buckets: int) ->
         v.sort()
         first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
         v, c = v[first], np.diff(np.concatenate([first, [len(v)]]))
-        seg = (v >> np.uint64(32)).astype(np.int64)
+        seg = (v >> np.uint64(_COUNTED - 8)).astype(np.int64)
         edge = np.searchsorted(seg, np.arange(257))
         at, data = [], []
         for k in range(256):
-            x, y = v[edge[k] : edge[k + 1]].astype("<u4"), c[edge[k] : edge[k + 1]]
+            x, y = (v[edge[k] : edge[k + 1]] & np.uint64((1 << (_COUNTED - 8)) - 1)).astype("<u4"), c[edge[k] : edge[k + 1]]
             many = y > 1
             at.append(k)
             data.append(_sorted_block(x[~many], x[many], y[many]))
@@ -112,9 +126,9 @@ def _frequency_tables(keyed: DataFrame, n: int, slot_bits: int, buckets: int) ->
         held, size = [], 0
         for batch in batches:
             for _, _, s, _ in shingle_sets(batch.column("__text"), n):
-                held.append(s >> np.uint64(8))
+                held.append(s >> np.uint64(48 - _COUNTED))
                 size += len(s)
-                if size > 3_000_000:
+                if size > 2_000_000:
                     yield flush(held)
                     held, size = [], 0
         if size:
@@ -129,9 +143,9 @@ def _frequency_tables(keyed: DataFrame, n: int, slot_bits: int, buckets: int) ->
         for k, blocks in by.items():
             ones, many, much = (np.concatenate([x[j] for x in blocks]) for j in range(3))
             v, first, c = _summed(np.concatenate([ones, many]), np.concatenate([np.ones(len(ones), np.int64), much.astype(np.int64)]))
-            f = (np.uint64(k) << np.uint64(32)) | v.astype(np.uint64)
+            f = (np.uint64(k) << np.uint64(_COUNTED - 8)) | v.astype(np.uint64)
             for kind, bits, keep in ((0, slot_bits, c > 1), (1, _GRADE_BITS, c >= 8)):
-                slots = (f[keep] >> np.uint64(40 - bits)).astype(np.int64)
+                slots = (f[keep] >> np.uint64(_COUNTED - bits)).astype(np.int64)
                 grade = np.log2(c[keep]).astype(np.uint8)
                 per = _PIECE_BITS + 3 if kind == 0 else _PIECE_BITS
                 piece = slots >> per
@@ -166,9 +180,8 @@ def _summed(v: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 def _ranked(s: np.ndarray, at: np.ndarray, seen: np.ndarray, grades: np.ndarray, slot_bits: int, common: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each row's n-grams that occur elsewhere, rare first: 43-bit keys and positions within the whole set; and the rows' group keys."""
     row = np.repeat(np.arange(len(at) - 1, dtype=np.uint64), np.diff(at))
-    f = s >> np.uint64(8)
-    there = B.test_bits(seen, (f >> np.uint64(40 - slot_bits)).astype(np.int64))
-    grade = grades[(f >> np.uint64(40 - _GRADE_BITS)).astype(np.int64)]
+    there = B.test_bits(seen, (s >> np.uint64(48 - slot_bits)).astype(np.int64))
+    grade = grades[(s >> np.uint64(48 - _GRADE_BITS)).astype(np.int64)]
     key = np.sort((row[there] << np.uint64(48)) | (grade[there].astype(np.uint64) << np.uint64(43)) | (s[there] >> np.uint64(5)))
     own = np.searchsorted(key, np.arange(len(at), dtype=np.uint64) << np.uint64(48))
     single = np.diff(at) - np.diff(own)  # n-grams that occur nowhere else come first
@@ -205,30 +218,63 @@ def _least_overlap(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarr
     return -(-num * (a + b) // (num + den))
 
 
-def _list_pairs(rec: np.ndarray, num: int, den: int) -> Iterator[np.ndarray]:
-    """Pairs of entries of one list whose sizes and positions allow a link, and that are of different groups."""
-    order = np.lexsort((rec["sig"], rec["n"], rec["e"]))
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (k, x) with lo[k] <= x < hi[k]."""
+    size = hi - lo
+    k = np.repeat(np.arange(len(lo)), size)
+    return k, np.arange(len(k)) - np.repeat(np.cumsum(size) - size, size) + lo[k]
+
+
+def _list_pairs(rec: np.ndarray, num: int, den: int, most: int = 500_000) -> Iterator[np.ndarray]:
+    """Pairs of entries of one list whose sizes and positions allow a link, and that are of different groups. The upper two bits of a position
+    tell a cell's two sides apart."""
+    order = np.lexsort((rec["pos"], rec["sig"], rec["n"], rec["e"]))
     rec = rec[order]
     if len(rec):
         new = np.ones(len(rec), bool)
-        new[1:] = (rec["e"][1:] != rec["e"][:-1]) | (rec["sig"][1:] != rec["sig"][:-1])
+        new[1:] = (rec["e"][1:] != rec["e"][:-1]) | (rec["sig"][1:] != rec["sig"][:-1]) | (rec["pos"][1:] != rec["pos"][:-1])
         rec = rec[new]
-    e, n, pos, sig, g = rec["e"], rec["n"].astype(np.int64), rec["pos"].astype(np.int64), rec["sig"], rec["g"]
-    i, d = np.arange(len(rec)), 0
-    while len(i):
-        d += 1
-        i = i[i + d < len(rec)]
-        j = i + d
-        ok = (e[i] == e[j]) & (den * n[i] >= num * n[j])
-        i, j = i[ok], j[ok]
-        least = _least_overlap(n[i], n[j], num, den)
-        slack = np.minimum(SHARED, least) - least - 1
-        ok = (g[i] != g[j]) & (pos[i] <= n[i] + slack) & (pos[j] <= n[j] + slack)
-        if ok.any():
-            a, b = sig[i[ok]], sig[j[ok]]
-            out = np.empty(len(a), _PAIR)
-            out["a"], out["b"], out["c"], out["least"] = np.minimum(a, b), np.maximum(a, b), 1, np.minimum(SHARED, least[ok])
-            yield out
+    n, pos, sig, g = rec["n"].astype(np.int64), (rec["pos"] & np.uint32((1 << 30) - 1)).astype(np.int64), rec["sig"], rec["g"]
+    side, count = (rec["pos"] >> np.uint32(30)).astype(np.int8), len(rec)
+    if count < 2:
+        return
+    # the largest partner that the position allows: the overlap is at most n - pos - 1 and what comes before
+    reach = (n - pos - 1 + SHARED) * (num + den) // num - n
+    top = np.minimum(reach, den * n // num)
+    lists = np.concatenate([[0], np.cumsum(rec["e"][1:] != rec["e"][:-1])])
+    key = lists * (int(n.max()) + 1) + n
+    end = np.searchsorted(key, lists * (int(n.max()) + 1) + np.minimum(top, n.max()), side="right")
+    blocks = np.maximum.reduceat(reach, np.arange(0, count, _BLOCK))
+    start = np.flatnonzero(end > np.arange(count) + 1)
+    run = end[start] - start - 1
+    # at most `most` pairs, or blocks, or one entry's, at a time
+    part = np.cumsum(np.where(run > _BLOCK, run // _BLOCK + 2, run)) // most
+    for own in np.split(start, np.flatnonzero(np.diff(part)) + 1) if len(start) else []:
+        far = end[own] - own - 1 > _BLOCK
+        k, j = _ranges(own[~far] + 1, end[own[~far]])
+        yield from _tested(own[~far][k], j, n, pos, reach, sig, g, side, num, den)
+        far = own[far]
+        if len(far):
+            k, block = _ranges((far + 1) // _BLOCK, (end[far] - 1) // _BLOCK + 1)
+            ok = blocks[block] >= n[far[k]]
+            i, block = far[k[ok]], block[ok]
+            for x in range(0, len(i), most // _BLOCK):
+                y = slice(x, x + most // _BLOCK)
+                k, j = _ranges(np.maximum(block[y] * _BLOCK, i[y] + 1), np.minimum((block[y] + 1) * _BLOCK, end[i[y]]))
+                yield from _tested(i[y][k], j, n, pos, reach, sig, g, side, num, den)
+
+
+def _tested(i: np.ndarray, j: np.ndarray, n: np.ndarray, pos: np.ndarray, reach: np.ndarray, sig: np.ndarray, g: np.ndarray, side: np.ndarray, num: int, den: int) -> Iterator[np.ndarray]:
+    """Those of the pairs i, j (j isn't smaller, and within the reach of i) that i is in the reach of, too."""
+    ok = (reach[j] >= n[i]) & (g[i] != g[j]) & (sig[i] != sig[j]) & ((side[i] != side[j]) | (side[i] == 0))
+    i, j = i[ok], j[ok]
+    if len(i):
+        out = np.empty(len(i), _PAIR)
+        swap = sig[i] > sig[j]
+        a, b = np.where(swap, j, i), np.where(swap, i, j)
+        out["a"], out["b"], out["ga"], out["gb"], out["c"] = sig[a], sig[b], g[a], g[b], 1
+        out["least"] = np.minimum(SHARED, _least_overlap(n[i], n[j], num, den))
+        yield out
 
 
 def _pair_sums(rec: np.ndarray) -> np.ndarray:
@@ -242,7 +288,7 @@ def _pair_sums(rec: np.ndarray) -> np.ndarray:
 
 
 def _candidates(keyed: DataFrame, tables, n: int, num: int, den: int, slot_bits: int, common: int, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(documents: __id, n, sig, g) and (pairs of different groups: a, b)."""
+    """(documents: __id, __hash, n, sig, g) and (pairs of different groups: a, b, ga, gb)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, grades = tables.value
@@ -261,187 +307,382 @@ def _candidates(keyed: DataFrame, tables, n: int, num: int, den: int, slot_bits:
                 row = (key >> np.uint64(48)).astype(np.int64)
                 low = _least_overlap(size, -(-num * size // den), num, den)
                 ok = fresh[row] & (pos <= (size - low + np.minimum(SHARED, low) - 1)[row])
-                rec = np.empty(int(ok.sum()), _ENTRY)
-                elem = key[ok] & np.uint64((1 << 43) - 1)
-                rec["e"], rec["sig"], rec["g"], rec["n"], rec["pos"] = elem & np.uint64(0xFFFFFFFF), sig[row[ok]], group[row[ok]], size[row[ok]], pos[ok]
-                ids = batch.column("__id").to_numpy(zero_copy_only=False)[lo:hi]
-                out = B.to_blocks(elem << np.uint64(21), rec, buckets)
-                facts = np.stack([ids, size, sig.view(np.int64), group.view(np.int64)]).astype("<i8")
-                bucket = np.concatenate([out.column(0).to_numpy(), [int(sig[0] % np.uint64(buckets))]]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array([*out.column(1).to_pylist(), None], pa.binary()), pa.array([None] * len(out) + [facts.tobytes()], pa.binary())], names=["bucket", "data", "facts"])
+                row, pos, elem = row[ok], pos[ok], key[ok] & np.uint64((1 << 43) - 1)
+                elem, row, pos = _celled(elem, row, pos, ((key[ok] >> np.uint64(43)) & np.uint64(31)).astype(np.int64), sig)
+                ids, text = (batch.column(c).to_numpy(zero_copy_only=False)[lo:hi] for c in ("__id", "__hash"))
+                there, data = _entry_blocks(elem, row, pos, sig, group, size, buckets)
+                facts = np.stack([ids, text, size, sig.view(np.int64), group.view(np.int64)]).astype("<i8")
+                bucket = np.concatenate([there, [int(sig[0] % np.uint64(buckets))]]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array([*data, None], pa.binary()), pa.array([None] * len(data) + [facts.tobytes()], pa.binary())], names=["bucket", "data", "facts"])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for batch in batches:
             for x, y in zip(batch.column("data").to_pylist(), batch.column("facts").to_pylist(), strict=True):
                 if x is not None:
-                    parts.append(np.frombuffer(x, _ENTRY))
+                    parts.append(_read_entries(x))
                 if y is not None:
-                    ids, size, sig, group = np.frombuffer(y, "<i8").reshape(4, -1)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), pa.array(sig), pa.array(group), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=["__id", "n", "sig", "g", "bucket", "data"])
+                    ids = np.frombuffer(y, "<i8").reshape(5, -1)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in ids), pa.nulls(ids.shape[1], pa.int32()), pa.nulls(ids.shape[1], pa.binary())], names=["__id", "__hash", "n", "sig", "g", "bucket", "data"])
         held, size = [], 0
         for out in _list_pairs(np.concatenate(parts) if parts else np.zeros(0, _ENTRY), num, den):
             held.append(out)
             size += len(out)
-            if size > 4_000_000:
+            if size > 1_000_000:
                 held = [_pair_sums(np.concatenate(held))]
                 size = len(held[0])
-                if size > 2_000_000:
+                if size > 500_000:
                     yield _pair_rows(held[0], buckets)
                     held, size = [], 0
         if size:
             yield _pair_rows(_pair_sums(np.concatenate(held)), buckets)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rec = _pair_sums(B.read_blocks(batches, _PAIR))
+        rec = _pair_sums(B.read_blocks(batches, _PAIR, True))
         rec = rec[rec["c"] >= rec["least"]]
-        yield pa.RecordBatch.from_arrays([pa.array(rec["a"].astype("<u8").view(np.int64)), pa.array(rec["b"].astype("<u8").view(np.int64))], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rec["a"]).view(np.int64)), pa.array(np.ascontiguousarray(rec["b"]).view(np.int64)), pa.array(rec["ga"].astype(np.int64)), pa.array(rec["gb"].astype(np.int64))], names=["a", "b", "ga", "gb"])
 
     mixed = keyed.mapInArrow(scan, "bucket int, data binary, facts binary").repartition(buckets, "bucket")
-    mixed = materialise(mixed.mapInArrow(lists, "__id long, n long, sig long, g long, bucket int, data binary"), "jaccard-lists")
-    pairs = mixed.where("data is not null").select("bucket", "data").repartition(buckets, "bucket").mapInArrow(sums, "a long, b long")
-    return mixed.where("sig is not null").select("__id", "n", "sig", "g"), materialise(pairs, "jaccard-pairs")
+    mixed = materialise(mixed.mapInArrow(lists, "__id long, __hash long, n long, sig long, g long, bucket int, data binary"), "jaccard-lists")
+    pairs = mixed.where("data is not null").select("bucket", "data").repartition(buckets, "bucket").mapInArrow(sums, "a long, b long, ga long, gb long")
+    return mixed.where("sig is not null").select("__id", "__hash", "n", "sig", "g"), materialise(pairs, "jaccard-pairs")
+
+
+def _entry_blocks(elem: np.ndarray, row: np.ndarray, pos: np.ndarray, sig: np.ndarray, group: np.ndarray, size: np.ndarray, buckets: int) -> tuple[np.ndarray, list[bytes]]:
+    """Buckets and their blocks of entries: the facts of a set once per block, then its n-grams and positions."""
+    bucket = B.bucket_of(elem << np.uint64(21), buckets)
+    order = np.lexsort((row, bucket))
+    bucket, row = bucket[order], row[order]
+    own = np.empty(len(order), _OWN)
+    own["e"], own["pos"] = elem[order] & np.uint64(0xFFFFFFFF), pos[order]
+    first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (row[1:] != row[:-1])])) if len(order) else np.zeros(0, np.int64)
+    head = np.empty(len(first), _HEAD)
+    head["sig"], head["g"], head["n"], head["count"] = sig[row[first]], group[row[first]], size[row[first]], np.diff(np.append(first, len(order)))
+    there, at = np.unique(bucket, return_index=True)
+    ends, heads = np.append(at[1:], len(order)), np.searchsorted(first, np.append(at, len(order)))
+    return there, [np.array([y - x], "<u4").tobytes() + B.pack(head[x:y]) + B.pack(own[a:b]) for a, b, x, y in zip(at, ends, heads, heads[1:], strict=False)]
+
+
+def _read_entries(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    head, own = B.unpack(data[4 : 4 + n * _HEAD.itemsize], _HEAD), B.unpack(data[4 + n * _HEAD.itemsize :], _OWN)
+    rec, of = np.empty(len(own), _ENTRY), np.repeat(np.arange(n), head["count"])
+    for f in ("sig", "g", "n"):
+        rec[f] = head[f][of]
+    rec["e"], rec["pos"] = own["e"], own["pos"]
+    return rec
+
+
+def _celled(elem: np.ndarray, row: np.ndarray, pos: np.ndarray, grade: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of very frequent n-grams go to every cell that their part of the list belongs to; two bits of the position tell the sides."""
+    hot = grade >= LIST_BITS
+    if not hot.any():
+        return elem, row, pos
+    parts = np.int64(1) << (grade[hot] - LIST_BITS + 1)
+    own = ((W.mix(sig[row[hot]]) >> np.uint64(20)) % parts.astype(np.uint64)).astype(np.int64)
+    k, other = _ranges(np.zeros(len(parts), np.int64), parts)
+    own = own[k]
+    cell = np.minimum(own, other) * parts[k] + np.maximum(own, other)
+    side = np.where(own == other, 0, np.where(own < other, 1, 2))
+    named = W.mix(elem[hot][k] + W.mix(cell.astype(np.uint64) + np.uint64(0x77))) & np.uint64((1 << 43) - 1)
+    return np.concatenate([elem[~hot], named]), np.concatenate([row[~hot], row[hot][k]]), np.concatenate([pos[~hot], pos[hot][k] | (side << 30)])
 
 
 def _pair_rows(rec: np.ndarray, buckets: int) -> pa.RecordBatch:
-    out = B.to_blocks(W.mix(rec["a"] + W.mix(rec["b"])), rec, buckets)
+    out = B.to_blocks(W.mix(rec["a"] + W.mix(rec["b"])), rec, buckets, planes=True)
     none = pa.nulls(len(out), pa.int64())
-    return pa.RecordBatch.from_arrays([none, none, none, none, out.column(0), out.column(1)], names=["__id", "n", "sig", "g", "bucket", "data"])
+    return pa.RecordBatch.from_arrays([none, none, none, none, none, out.column(0), out.column(1)], names=["__id", "__hash", "n", "sig", "g", "bucket", "data"])
 
 
-class _Group:
-    """The sets of one group, the travellers to it and the pairs asked for."""
+class _Cell:
+    """The sets of a group, or of two chunks of a large one, by their differences to a hub."""
 
-    def __init__(self, num: int, den: int):
+    def __init__(self, sets: list[tuple[int, int, int, np.ndarray]], num: int, den: int):
+        """sets: (set, members, side, n-grams); of sets with sides other than 0 only those of different sides are paired."""
         self.num, self.den = num, den
-        self.sets: dict[int, tuple[np.ndarray, int]] = {}
-        self.guests: dict[int, tuple[np.ndarray, int]] = {}
-        self.asked: list[tuple[int, int]] = []
-
-    def links(self, a: np.ndarray, b: np.ndarray, facts_a: tuple[int, int], facts_b: tuple[int, int], hub: int) -> bool:
-        (ra, ca), (rb, cb) = facts_a, facts_b
-        if ra + rb <= (self.num + self.den) * hub:
-            return True
-        need = -(-self.num * (len(a) + len(b)) // (self.num + self.den))
-        if min(ca, cb) + min(len(a) - ca, len(b) - cb) < need:
-            return False
-        if len(a) > len(b):
-            a, b = b, a
-        at = np.searchsorted(b, a)
-        at[at == len(b)] = 0
-        return int((b[at] == a).sum()) >= need
-
-    def solve(self) -> Iterator[tuple[int, int, int | None]]:
-        """(set, documents it links with, a set it links with)."""
-        if not self.sets:
+        self.sig = [x[0] for x in sets]
+        self.members = np.array([x[1] for x in sets], np.int64)
+        self.side = np.array([x[2] for x in sets], np.int8)
+        self.size = np.array([len(x[3]) for x in sets], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        self.known, self.flat = np.unique(np.concatenate([x[3] for x in sets]), return_inverse=True)
+        self.mark = np.zeros(len(self.known), bool)
+        self.add = np.zeros(len(sets), np.int64)
+        self.root = np.arange(len(sets))
+        self.place = {s: k for k, s in enumerate(self.sig)}
+
+    def _overlaps(self, which: np.ndarray) -> np.ndarray:
+        """Marked n-grams of each of these sets."""
+        _, x = _ranges(self.at[which], self.at[which + 1])
+        return np.add.reduceat(self.mark[self.flat[x]].astype(np.int32), np.concatenate([[0], np.cumsum(self.size[which])[:-1]]))
+
+    def _join(self, x: int, linked: np.ndarray) -> None:
+        roots = np.unique(np.append(self.root[linked], self.root[x]))
+        if len(roots) > 1:
+            self.root[np.isin(self.root, roots)] = roots[0]
+
+    def solve(self) -> None:
+        """All links within the cell."""
+        if len(self.sig) < 2:
             return
-        names = sorted(self.sets)
-        hub = self.sets[names[0]][0]
-        unit = self.num + self.den
-
-        def facts(x: np.ndarray) -> tuple[int, int]:
-            at = np.searchsorted(hub, x)
-            at[at == len(hub)] = 0
-            c = int((hub[at] == x).sum())
-            return unit * (len(hub) - c) + self.num * len(x), c
-
-        known = {k: facts(self.sets[k][0]) for k in names}
-        if len(names) > 1:
-            r = np.array([known[k][0] for k in names], np.int64)
-            weight = np.array([self.sets[k][1] for k in names], np.int64)
-            order = np.argsort(r, kind="stable")
-            total = np.concatenate([[0], np.cumsum(weight[order])])
-            limit = unit * len(hub) - r
-            sure = total[np.searchsorted(r[order], limit, side="right")] - np.where(r <= limit, weight, 0)
-            for k, add, own in zip(names, sure.tolist(), r.tolist(), strict=True):
-                if add:
-                    yield k, add, names[0] if k != names[0] else None
-            rank = r[order]
-            far = np.searchsorted(rank, unit * len(hub) - rank, side="right")  # from here on pairs are open
-            for x in range(len(names)):
-                a = names[order[x]]
-                for y in range(max(x + 1, int(far[x])), len(names)):
-                    b = names[order[y]]
-                    if self.links(self.sets[a][0], self.sets[b][0], known[a], known[b], len(hub)):
-                        yield a, self.sets[b][1], b
-                        yield b, self.sets[a][1], None
-        guests = {k: facts(x) for k, (x, _) in self.guests.items()}
-        for a, b in self.asked:
-            if a in self.guests and b in self.sets and self.links(self.guests[a][0], self.sets[b][0], guests[a], known[b], len(hub)):
-                yield a, self.sets[b][1], b
-                yield b, self.guests[a][1], None
-
-
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, num: int = 60, den: int = 100, slot_bits: int = 28) -> DataFrame:
-    """One row per input row: id_col, n_shingles, n_similar, component_id."""
-    spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    common = max(6, int(np.log2(max(1, docs.count()) / 256)))
-    tables = spark.sparkContext.broadcast(_frequency_tables(keyed, n, slot_bits, buckets))
-    facts, pairs = _candidates(keyed, tables, n, num, den, slot_bits, common, buckets)
-    classes = materialise(facts.where("n > 0").groupBy("sig").agg(F.min("__id").alias("rep"), F.count("*").alias("members"), F.min("g").alias("g")), "jaccard-classes")
-
-    both = pairs.union(pairs.select("b", "a")).toDF("sig", "other")
-    sized = classes.join(classes.groupBy("g").agg(F.count("*").alias("size")), "g").select("sig", "g", "size")
-    paired = materialise(sized.join(both.groupBy("sig").count(), "sig"), "jaccard-paired")
-    # a set that is alone in its group moves to the largest group among those of its partners, where most of its pairs are solved together
-    best = both.join(paired.select(F.col("sig").alias("other"), "size", "g"), "other").groupBy("sig").agg(F.max(F.struct("size", "g")).alias("best"))
-    home = F.when(F.col("size") > 1, F.col("g")).otherwise(F.greatest(F.struct("size", "g"), F.col("best"))["g"])
-    known = materialise(paired.join(best, "sig").select("sig", home.alias("g"), "count"), "jaccard-homes")
-    side = lambda x: known.select(F.col("sig").alias(x), F.col("g").alias(f"g_{x}"), F.col("count").alias(f"d_{x}"))
+        unit, hub = self.num + self.den, 0
+        self.mark[self.flat[: self.at[1]]] = True
+        c = self._overlaps(np.arange(len(self.sig)))
+        self.mark[:] = False
+        h, extra = int(self.size[hub]), self.size - c
+        r = unit * (h - c) + self.num * self.size
+        order = np.argsort(r, kind="stable")
+        rank, limit = r[order], unit * h - r
+        far = np.searchsorted(rank, limit, side="right")  # from here on pairs are open
+        for s in np.unique(self.side):
+            here = np.flatnonzero(self.side == s)
+            weight = np.where((self.side[order] != s) | (s == 0), self.members[order], 0)
+            total = np.concatenate([[0], np.cumsum(weight)])
+            own = (r[here] <= limit[here]) * (self.members[here] if s == 0 else 0)
+            self.add[here] = total[far[here]] - own
+        sure = np.flatnonzero(self.add > 0)
+        if len(sure):  # whoever surely links with some set does so with the hub
+            self._join(hub, sure)
+        for x, k in enumerate(order.tolist()):
+            y = order[max(x + 1, int(far[k])) :]
+            if self.side[k]:
+                y = y[self.side[y] != self.side[k]]
+            need = _least_overlap(self.size[k], self.size[y], self.num, self.den)
+            may = np.minimum(c[k], c[y]) + np.minimum(extra[k], extra[y]) >= need
+            y, need = y[may], need[may]
+            if not len(y):
+                continue
+            self._count(self.flat[self.at[k] : self.at[k + 1]], k, int(self.members[k]), y, need)
+
+    def _count(self, marked: np.ndarray, k: int | None, members: int, y: np.ndarray, need: np.ndarray) -> np.ndarray:
+        self.mark[marked] = True
+        y = y[self._overlaps(y) >= need]
+        self.mark[marked] = False
+        if len(y):
+            self.add[y] += members
+            if k is None:
+                self._join(int(y[0]), y)
+            else:
+                self.add[k] += self.members[y].sum()
+                self._join(k, y)
+        return y
+
+    def guest(self, sig: int, members: int, grams: np.ndarray, asked: list[int]) -> tuple[int, int, int] | None:
+        """A traveller and the sets it is to be compared with: (set, documents it links with, a set it links with)."""
+        y = np.array([self.place[x] for x in asked if x in self.place], np.int64)
+        if not len(y):
+            return None
+        at = np.searchsorted(self.known, grams)
+        at[at == len(self.known)] = 0
+        y = self._count(at[self.known[at] == grams], None, members, y, _least_overlap(len(grams), self.size[y], self.num, self.den))
+        return (sig, int(self.members[y].sum()), self.sig[int(y[0])]) if len(y) else None
+
+    def rows(self) -> Iterator[tuple[int, int, int | None]]:
+        for k in np.flatnonzero((self.add > 0) | (self.root != np.arange(len(self.root)))).tolist():
+            yield self.sig[k], int(self.add[k]), self.sig[int(self.root[k])] if self.root[k] != k else None
+
+
+def _group_table(groups: DataFrame, buckets: int) -> np.ndarray:
+    """For slots of group keys: 0 where no group is needed, else 1 + log2 of the largest group's size. Of a fixed size, collected in pieces."""
+    per = 1 << 12
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot = batch.column(1).to_numpy()
+            grade = 1 + np.log2(np.maximum(batch.column(2).to_numpy(), 1)).astype(np.uint8)
+            for k in np.unique(slot // per).tolist():
+                here = slot // per == k
+                np.maximum.at(own.setdefault(k, np.zeros(per, np.uint8)), slot[here] % per, grade[here])
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in own.values()], pa.binary())], names=["bucket", "data"])
+
+    slot = F.shiftright("g", 32 - _GROUP_SLOTS)
+    narrow = groups.select((slot / per).cast("int").alias("piece"), slot.alias("slot"), "size").repartition(buckets, "piece")
+    table = np.zeros(1 << _GROUP_SLOTS, np.uint8)
+    for at, data in narrow.mapInArrow(pieces, B.BLOCK_SCHEMA).toLocalIterator(prefetchPartitions=True):
+        table[at * per : (at + 1) * per] = np.frombuffer(zlib.decompress(bytes(data)), np.uint8)
+    return table
+
+
+def _chunks(table: np.ndarray, g: int, sig: int) -> tuple[int, int]:
+    """How many chunks a group has, and a set's own."""
+    k = 1 << max(0, int(table[g >> (32 - _GROUP_SLOTS)]) - 1 - GROUP_BITS + 1)
+    return k, (int(sig) & 0xFFFFFFFFFFFF) % k if k > 1 else 0
+
+
+def _cells(table: np.ndarray, g: int, sig: int) -> list[tuple[int, int]]:
+    """The cells of its group that a set belongs to, and its side there."""
+    k, own = _chunks(table, g, sig)
+    return [(own * k + own, 0)] + [(min(own, x) * k + max(own, x), 1 if own < x else 2) for x in range(k) if x != own]
+
+
+_SENT = "to long, cell long, stage int, sig long, kind int, other long, side int, members long, data binary"
+_SENT_NAMES = [x.split()[0] for x in _SENT.split(", ")]
+_SENT_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+
+
+def _sent_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(_SENT_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SENT_TYPES, strict=True)], names=_SENT_NAMES)
+
+
+def _bitmap_of(rows: DataFrame, slot_bits: int = 24) -> DataFrame:
+    """(__word, __bits) of the slots of `rep`, of a fixed size."""
+    slot = F.pmod(F.xxhash64("rep"), F.lit(1 << slot_bits))
+    bits = rows.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("__bits"))
+    return materialise(bits, "jaccard-asked-rows")
+
+
+def _texts_of(keyed: DataFrame, bits: DataFrame, slot_bits: int = 24) -> DataFrame:
+    """Texts of rows whose slot is set."""
+    slot = F.pmod(F.xxhash64(F.struct("__id", "__hash")), F.lit(1 << slot_bits))
+    rows = keyed.withColumn("__slot", slot).withColumn("__word", F.shiftright("__slot", 6)).join(F.broadcast(bits), "__word")
+    return rows.where("shiftright(__bits, cast(__slot & 63 as int)) & 1L = 1L").select("__text")
+
+
+def _links(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, tables, n: int, num: int, den: int, slot_bits: int, common: int, buckets: int, known_travellers: int) -> DataFrame:
+    """(sig, add: documents of other sets it links with, other: a set of the same component). A set may have several rows."""
+    context = keyed.sparkSession.sparkContext
+    degrees = pairs.select("a").union(pairs.select("b")).toDF("sig").groupBy("sig").count()
+    side = lambda x: degrees.select(F.col("sig").alias(x), F.col("count").alias(f"d_{x}"))
     a_goes = F.expr("d_a > d_b or (d_a = d_b and a > b)")
-    apart = pairs.join(side("a"), "a").join(side("b"), "b").where("g_a <> g_b")
-    travel = apart.select(F.when(a_goes, F.col("a")).otherwise(F.col("b")).alias("sig"), F.when(a_goes, F.col("b")).otherwise(F.col("a")).alias("other"), F.when(a_goes, F.col("g_b")).otherwise(F.col("g_a")).alias("to"))
+    travel = pairs.join(side("a"), "a").join(side("b"), "b").select(F.when(a_goes, F.col("a")).otherwise(F.col("b")).alias("sig"), F.when(a_goes, F.col("b")).otherwise(F.col("a")).alias("other"), F.when(a_goes, F.col("gb")).otherwise(F.col("ga")).alias("to"))
     travel = materialise(travel, "jaccard-travel")
-    homed = classes.join(known.select("sig", F.col("g").alias("home")), "sig", "left").select("sig", "rep", "members", F.coalesce("home", "g").alias("to"))
-    groups = homed.groupBy("to").count().where("count > 1").select("to").union(travel.select("to")).distinct()
-    at_home = homed.join(groups, "to").select("sig", "rep", "members", "to", F.lit(0).alias("kind"))
-    away = travel.select("sig", "to").distinct().join(classes, "sig").select("sig", "rep", "members", "to", F.lit(1).alias("kind"))
-    need = materialise(at_home.union(away), "jaccard-need")
+    groups = classes.groupBy("g").agg(F.count("*").alias("size"))
+    groups = materialise(groups.where("size > 1").unionByName(travel.select(F.col("to").alias("g"), F.lit(1).cast("long").alias("size")).distinct()), "jaccard-groups")
+    table = context.broadcast(_group_table(groups, buckets))
 
-    slot = lambda x: F.pmod(F.xxhash64(x), F.lit(1 << 24))
-    bits = need.select(slot(F.col("rep")).alias("s")).groupBy(F.shiftright("s", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("__bits"))
-    asked = keyed.withColumn("__slot", slot(F.col("__id"))).withColumn("__word", F.shiftright("__slot", 6)).join(F.broadcast(bits), "__word").where("shiftright(__bits, cast(__slot & 63 as int)) & 1L = 1L").select("__id", "__text")
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = table.value
+        for batch in batches:
+            out = []
+            for sig, other, to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                k, c = _chunks(own, to, other)
+                out.append((to, c * k + c, 2, sig, 1, other, 0, 0, None))
+            yield _sent_rows(out)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = table.value
         for batch in batches:
-            for lo, hi, s, at in shingle_sets(batch.column("__text"), n):
-                sig = signatures(s, at)
-                data = [_packed(s[x:y]) for x, y in zip(at, at[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column("__id").slice(lo, hi - lo), pa.array(sig.view(np.int64)), pa.array(data, pa.binary())], names=["rep", "sig", "data"])
+            yield _sent_rows([(g, cell, 0, sig, 0, 0, s, members, None) for sig, g, members in zip(*(c.to_pylist() for c in batch.columns), strict=True) if own[g >> (32 - _GROUP_SLOTS)] for cell, s in _cells(own, g, sig)])
+
+    asked = materialise(travel.mapInArrow(asks, _SENT), "jaccard-asked")
+    goes = materialise(asked.select("sig", "to", "cell").distinct().join(classes.select("sig", "members"), "sig"), "jaccard-goes")
+    at_home = classes.join(groups.select("g").distinct(), "g", "left_semi").select("rep")
+    travellers = classes.join(goes, "sig", "left_semi").select("rep")
+    few = goes.count() <= known_travellers
+    routes = None
+    if few:
+        found = goes.orderBy("sig", "to", "cell").collect()
+        routes = context.broadcast(tuple(np.array([r[c] for r in found], np.int64) for c in ("sig", "to", "cell", "members")))
+
+    def own_sets(batches: Iterator[pa.RecordBatch], sent: Callable) -> Iterator[pa.RecordBatch]:
+        """One call of sent(set, group, packed n-grams) for each set that a task meets."""
+        (seen, grades), done = tables.value, set()
+        for batch in batches:
+            for _, _, s, at in shingle_sets(batch.column("__text"), n):
+                sig, (_, _, group) = signatures(s, at).view(np.int64), _ranked(s, at, seen, grades, slot_bits, common)
+                out = []
+                for x, g, i, j in zip(sig.tolist(), group.tolist(), at, at[1:], strict=False):
+                    if i < j and x not in done:
+                        done.add(x)
+                        out += sent(x, g, s[i:j])
+                if len(done) > 200_000:
+                    done.clear()
+                yield _sent_rows(out)
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, route = table.value, routes.value if routes else None
+
+        def sent(x: int, g: int, grams: np.ndarray) -> list[tuple]:
+            out, data = [], _packed(grams)
+            if own[g >> (32 - _GROUP_SLOTS)]:
+                out = [(g, cell, 1, x, 0, 0, s, 0, data) for cell, s in _cells(own, g, x)]
+            if route is not None:
+                lo, hi = np.searchsorted(route[0], x, side="left"), np.searchsorted(route[0], x, side="right")
+                out += [(int(route[1][k]), int(route[2][k]), 2, x, 0, 0, 0, int(route[3][k]), data) for k in range(lo, hi)]
+            return out
 
-    sent = asked.mapInArrow(sets, "rep long, sig long, data binary").join(need, ["sig", "rep"]).select("to", "kind", "sig", F.lit(0).cast("long").alias("other"), "members", "data")
-    wanted = travel.select("to", F.lit(2).alias("kind"), "sig", "other", F.lit(0).cast("long").alias("members"), F.lit(None).cast("binary").alias("data"))
+        return own_sets(batches, sent)
+
+    def away(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return own_sets(batches, lambda x, g, grams: [(0, 0, 2, x, 0, 0, 0, 0, _packed(grams))])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, group, out = None, _Group(num, den), []
+        here, known, sets, cell, guest, wanted = None, {}, [], None, None, []
+
+        def ready() -> _Cell | None:
+            nonlocal cell, sets
+            if cell is None and sets:
+                cell, sets = _Cell(sets, num, den), []
+                cell.solve()
+            return cell
+
+        def compare() -> list[tuple]:
+            nonlocal guest, wanted
+            found = ready().guest(guest[0], guest[1], guest[2], wanted) if guest and wanted and ready() else None
+            guest, wanted = None, []
+            return [found] if found else []
+
         for batch in batches:
-            for to, kind, sig, other, members, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if to != here:
-                    out += group.solve()
-                    here, group = to, _Group(num, den)
-                if kind == 2:
-                    group.asked.append((sig, other))
-                else:
-                    (group.guests if kind else group.sets)[sig] = (_unpacked(data), members)
-            yield _link_rows(out)
             out = []
-        yield _link_rows(list(group.solve()))
-
-    links = sent.union(wanted).repartition(buckets, "to").sortWithinPartitions("to", "kind").mapInArrow(solve, "sig long, add long, other long")
-    links = materialise(links, "jaccard-links")
-    reps = classes.select("sig", "rep")
-    edges = links.where("other is not null").join(reps, "sig").select(F.col("rep").alias("src"), "other").join(reps.select(F.col("sig").alias("other"), F.col("rep").alias("dst")), "other").select("src", "dst")
-    labels = connected_components(edges)
-    added = links.groupBy("sig").agg(F.sum("add").alias("add"))
-    answer = classes.join(added, "sig", "left").join(labels, classes["rep"] == labels["node"], "left")
-    answer = materialise(answer.select("sig", "members", (F.col("members") - 1 + F.coalesce("add", F.lit(0))).alias("n_similar"), F.coalesce("component", "rep").alias("component_id")), "jaccard-answer")
-    full = attach_group_facts(facts.where("n > 0").select("__id", "n", "sig"), answer, "sig", "members").select("__id", "n", "n_similar", "component_id")
-    full = full.union(facts.where("n = 0").select("__id", "n", F.lit(0).cast("long"), "__id"))
-    kind = docs.schema[id_col].dataType
-    back = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c)).cast(kind)
-    return full.select(back("__id").alias(id_col), F.col("n").alias("n_shingles"), "n_similar", back("component_id").alias("component_id"))
+            for to, at, stage, sig, kind, other, s, members, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (to, at) != here:
+                    out += compare()
+                    out += ready().rows() if ready() else ()
+                    here, known, sets, cell = (to, at), {}, [], None
+                if stage == 0:
+                    known[sig] = (members, s)
+                elif stage == 1:
+                    if sig in known:
+                        sets.append((sig, *known.pop(sig), _unpacked(data)))
+                elif kind == 0:
+                    if guest is None or guest[0] != sig:
+                        out += compare()
+                        guest = (sig, members, _unpacked(data))
+                elif guest is not None and guest[0] == sig:
+                    wanted.append(other)
+            yield _link_rows(out)
+        out = compare()
+        yield _link_rows(out + (list(ready().rows()) if ready() else []))
+
+    sent = _texts_of(keyed, _bitmap_of(at_home.union(travellers) if few else at_home)).mapInArrow(home, _SENT)
+    if not few:
+        moved = _texts_of(keyed, _bitmap_of(travellers)).mapInArrow(away, _SENT).drop("to", "cell", "members").join(goes, "sig")
+        sent = sent.unionByName(moved.select(*_SENT_NAMES))
+    sent = sent.unionByName(classes.select("sig", "g", "members").mapInArrow(facts, _SENT)).unionByName(asked)
+    return materialise(sent.repartition(buckets, "to", "cell").sortWithinPartitions("to", "cell", "stage", "sig", "kind").mapInArrow(solve, "sig long, add long, other long"), "jaccard-links")
+
+
+def _solved(docs: DataFrame, id_col: str, text_col: str, n: int = 2, num: int = 60, den: int = 100, slot_bits: int = 28, known_travellers: int = 300_000) -> DataFrame:
+    """One row per input row: __id, __hash, n, n_similar, best (id and text hash of the component's least row)."""
+    spark = docs.sparkSession
+    buckets = shuffle_partitions(spark)
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("__id"), text_hash(text_col).alias("__hash"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    common = max(6, int(np.log2(max(1, docs.count()) / 256)))
+    tables = spark.sparkContext.broadcast(_frequency_tables(keyed, n, slot_bits, buckets))
+    facts, pairs = _candidates(keyed, tables, n, num, den, slot_bits, common, buckets)
+    row = F.struct(F.col("__id"), F.col("__hash"))
+    classes = materialise(facts.where("n > 0").groupBy("sig").agg(F.min(row).alias("rep"), F.count("*").alias("members"), F.min("g").alias("g")), "jaccard-classes")
+    links = _links(keyed, classes, pairs, tables, n, num, den, slot_bits, common, buckets, known_travellers)
+    labels = materialise(connected_components(links.where("other is not null").select(F.col("sig").alias("src"), F.col("other").alias("dst"))), "jaccard-labels")
+    best = classes.join(labels, classes["sig"] == labels["node"]).groupBy("component").agg(F.min("rep").alias("best"), F.count("*").alias("size"))
+    best = attach_group_facts(labels, materialise(best, "jaccard-components"), "component", "size").select(F.col("node").alias("sig"), "best")
+    answer = classes.join(links.groupBy("sig").agg(F.sum("add").alias("add")), "sig", "left").join(best, "sig", "left")
+    answer = materialise(answer.select("sig", "members", (F.col("members") - 1 + F.coalesce("add", F.lit(0))).alias("n_similar"), F.coalesce("best", "rep").alias("best")), "jaccard-answer")
+    full = attach_group_facts(facts.where("n > 0").select("__id", "__hash", "n", "sig"), answer, "sig", "members").select("__id", "__hash", "n", "n_similar", "best")
+    return full.union(facts.where("n = 0").select("__id", "__hash", "n", F.lit(0).cast("long"), row))
+
+
+def _restored(column: Column, docs: DataFrame, id_col: str) -> Column:
+    return F.when(column != _NULL_ID, column).cast(docs.schema[id_col].dataType)
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per input row: id_col, n_shingles, n_similar, component_id. Options: n, num, den, slot_bits, known_travellers."""
+    full = _solved(docs, id_col, text_col, **options)
+    back = lambda c: _restored(c, docs, id_col)
+    return full.select(back(F.col("__id")).alias(id_col), F.col("n").alias("n_shingles"), "n_similar", back(F.col("best.__id")).alias("component_id"))
 
 
 def _link_rows(rows: list[tuple[int, int, int | None]]) -> pa.RecordBatch:
@@ -450,10 +691,11 @@ def _link_rows(rows: list[tuple[int, int, int | None]]) -> pa.RecordBatch:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows without those that are linked, at once or by a chain, with a document of a smaller id. Columns are unchanged."""
-    found = jaccard_links(docs, id_col, text_col, **options)
-    gone = materialise(found.where(~F.col("component_id").eqNullSafe(F.col(id_col))).select(id_col).distinct(), "near-copies")
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """Of each group that links connect the row of the least id (of these, one); rows without words stay, one of those that repeat id and text. Columns
+    are unchanged."""
+    full = _solved(docs, id_col, text_col, **options)
+    stays = (F.col("n") == 0) | ((F.col("best.__id") == F.col("__id")) & (F.col("best.__hash") == F.col("__hash")))
+    return keep_rows(docs, full.select(_restored(F.col("__id"), docs, id_col).alias("__id"), "__hash", stays.alias("__stays")), id_col, text_col)
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
