@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sparkloom.llm.wordhash import tidy
+
 BLOCK_SCHEMA = "bucket int, data binary"
 
 
@@ -84,6 +86,6 @@ def collect_bitmap(blocks: DataFrame, buckets: int, slot_bits: int, repeated: Ca
 
     bitmap = np.zeros(1 << (slot_bits - 3), np.uint8)
     size = 1 << (piece_bits - 3)
-    for at, data in blocks.repartition(buckets, "bucket").mapInArrow(run, BLOCK_SCHEMA).toLocalIterator(prefetchPartitions=True):
+    for at, data in blocks.repartition(buckets, "bucket").mapInArrow(tidy(run), BLOCK_SCHEMA).toLocalIterator(prefetchPartitions=True):
         bitmap[at * size : (at + 1) * size] |= np.frombuffer(zlib.decompress(bytes(data)), np.uint8)
     return bitmap

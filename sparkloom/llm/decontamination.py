@@ -305,7 +305,7 @@ def _before_last(docs: DataFrame, text_col: str, passes: Iterator[list]) -> tupl
                 columns = [*batch.columns[:-2], pa.array([[{"start": a, "end": b} for a, b in hit] for _, _, hit, *_ in found], _SPANS), pa.array([list(names) for *_, names, _, _ in found], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-        rows = materialise(rows.mapInArrow(run, schema), "benchmark-pass")
+        rows = materialise(rows.mapInArrow(W.tidy(run), schema), "benchmark-pass")
         for b in blocks:
             b.destroy()
         blocks = following
@@ -342,7 +342,7 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
                 names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
             )
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start: long, end: long>>")
+    return rows.mapInArrow(W.tidy(run), f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start: long, end: long>>")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_coverage: float = 0.5, block_words: int = 200_000, pass_words: int = 2_000_000) -> DataFrame:
@@ -381,7 +381,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     columns[chars] = pa.array(counts, columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-2]).take(pa.array(keep, pa.int64()))
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(W.tidy(run), docs.schema)
 
 
 def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -128,7 +128,7 @@ def _frequency_tables(keyed: DataFrame, n: int, slot_bits: int, buckets: int) ->
             for _, _, s, _ in shingle_sets(batch.column("__text"), n):
                 held.append(s >> np.uint64(48 - _COUNTED))
                 size += len(s)
-                if size > 2_000_000:
+                if size > 1_500_000:
                     yield flush(held)
                     held, size = [], 0
         if size:
@@ -163,7 +163,7 @@ def _frequency_tables(keyed: DataFrame, n: int, slot_bits: int, buckets: int) ->
 
     seen, grades = np.zeros(1 << (slot_bits - 3), np.uint8), np.zeros(1 << _GRADE_BITS, np.uint8)
     size = 1 << _PIECE_BITS
-    found = keyed.select("__text").mapInArrow(scan, B.BLOCK_SCHEMA).repartition(buckets, "bucket").mapInArrow(count, "kind int, piece int, data binary")
+    found = keyed.select("__text").mapInArrow(W.tidy(scan), B.BLOCK_SCHEMA).repartition(buckets, "bucket").mapInArrow(W.tidy(count), "kind int, piece int, data binary")
     for kind, piece, data in found.toLocalIterator(prefetchPartitions=True):
         into = (seen, grades)[kind][piece * size : (piece + 1) * size]
         np.bitwise_or(into, np.frombuffer(zlib.decompress(bytes(data)), np.uint8), out=into) if kind == 0 else np.maximum(into, np.frombuffer(zlib.decompress(bytes(data)), np.uint8), out=into)
@@ -342,9 +342,9 @@ def _candidates(keyed: DataFrame, tables, n: int, num: int, den: int, slot_bits:
         rec = rec[rec["c"] >= rec["least"]]
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rec["a"]).view(np.int64)), pa.array(np.ascontiguousarray(rec["b"]).view(np.int64)), pa.array(rec["ga"].astype(np.int64)), pa.array(rec["gb"].astype(np.int64))], names=["a", "b", "ga", "gb"])
 
-    mixed = keyed.mapInArrow(scan, "bucket int, data binary, facts binary").repartition(buckets, "bucket")
-    mixed = materialise(mixed.mapInArrow(lists, "__id long, __hash long, n long, sig long, g long, bucket int, data binary"), "jaccard-lists")
-    pairs = mixed.where("data is not null").select("bucket", "data").repartition(buckets, "bucket").mapInArrow(sums, "a long, b long, ga long, gb long")
+    mixed = keyed.mapInArrow(W.tidy(scan), "bucket int, data binary, facts binary").repartition(buckets, "bucket")
+    mixed = materialise(mixed.mapInArrow(W.tidy(lists), "__id long, __hash long, n long, sig long, g long, bucket int, data binary"), "jaccard-lists")
+    pairs = mixed.where("data is not null").select("bucket", "data").repartition(buckets, "bucket").mapInArrow(W.tidy(sums), "a long, b long, ga long, gb long")
     return mixed.where("sig is not null").select("__id", "__hash", "n", "sig", "g"), materialise(pairs, "jaccard-pairs")
 
 
@@ -499,7 +499,7 @@ def _group_table(groups: DataFrame, buckets: int) -> np.ndarray:
     slot = F.shiftright("g", 32 - _GROUP_SLOTS)
     narrow = groups.select((slot / per).cast("int").alias("piece"), slot.alias("slot"), "size").repartition(buckets, "piece")
     table = np.zeros(1 << _GROUP_SLOTS, np.uint8)
-    for at, data in narrow.mapInArrow(pieces, B.BLOCK_SCHEMA).toLocalIterator(prefetchPartitions=True):
+    for at, data in narrow.mapInArrow(W.tidy(pieces), B.BLOCK_SCHEMA).toLocalIterator(prefetchPartitions=True):
         table[at * per : (at + 1) * per] = np.frombuffer(zlib.decompress(bytes(data)), np.uint8)
     return table
 
@@ -566,7 +566,7 @@ def _links(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, tables, n: in
         for batch in batches:
             yield _sent_rows([(g, cell, 0, sig, 0, 0, s, members, None) for sig, g, members in zip(*(c.to_pylist() for c in batch.columns), strict=True) if own[g >> (32 - _GROUP_SLOTS)] for cell, s in _cells(own, g, sig)])
 
-    asked = materialise(travel.mapInArrow(asks, _SENT), "jaccard-asked")
+    asked = materialise(travel.mapInArrow(W.tidy(asks), _SENT), "jaccard-asked")
     goes = materialise(asked.select("sig", "to", "cell").distinct().join(classes.select("sig", "members"), "sig"), "jaccard-goes")
     at_home = classes.join(groups.select("g").distinct(), "g", "left_semi").select("rep")
     travellers = classes.join(goes, "sig", "left_semi").select("rep")
@@ -646,12 +646,12 @@ def _links(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, tables, n: in
         out = compare()
         yield _link_rows(out + (list(ready().rows()) if ready() else []))
 
-    sent = _texts_of(keyed, _bitmap_of(at_home.union(travellers) if few else at_home)).mapInArrow(home, _SENT)
+    sent = _texts_of(keyed, _bitmap_of(at_home.union(travellers) if few else at_home)).mapInArrow(W.tidy(home), _SENT)
     if not few:
-        moved = _texts_of(keyed, _bitmap_of(travellers)).mapInArrow(away, _SENT).drop("to", "cell", "members").join(goes, "sig")
+        moved = _texts_of(keyed, _bitmap_of(travellers)).mapInArrow(W.tidy(away), _SENT).drop("to", "cell", "members").join(goes, "sig")
         sent = sent.unionByName(moved.select(*_SENT_NAMES))
-    sent = sent.unionByName(classes.select("sig", "g", "members").mapInArrow(facts, _SENT)).unionByName(asked)
-    return materialise(sent.repartition(buckets, "to", "cell").sortWithinPartitions("to", "cell", "stage", "sig", "kind").mapInArrow(solve, "sig long, add long, other long"), "jaccard-links")
+    sent = sent.unionByName(classes.select("sig", "g", "members").mapInArrow(W.tidy(facts), _SENT)).unionByName(asked)
+    return materialise(sent.repartition(buckets, "to", "cell").sortWithinPartitions("to", "cell", "stage", "sig", "kind").mapInArrow(W.tidy(solve), "sig long, add long, other long"), "jaccard-links")
 
 
 def _solved(docs: DataFrame, id_col: str, text_col: str, n: int = 2, num: int = 60, den: int = 100, slot_bits: int = 28, known_travellers: int = 300_000) -> DataFrame:

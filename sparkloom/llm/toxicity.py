@@ -2,8 +2,9 @@
 
 Features say whether a word, or a prefix of 4, 5 or 6 bytes of a word, is present (words: letters, digits and non-ASCII
 characters, A-Z lower-cased). Prefixes catch inflected forms: a word or prefix is no feature where a shorter prefix of it is toxic
-as often (within PURITY of the rows that hold it), so the weight of a stem isn't split among its known endings. A text has grade 0 where its label says it isn't toxic; toxic texts
-have grades 1 to `grades`, equal parts by how many of their distinct words carry toxic evidence, as the labels have no finer scale.
+as often (within PURITY of the rows that hold it), so the weight of a stem isn't split among its known endings. A text has grade 0 where its label says it isn't toxic. The labels
+have no finer scale; a toxic text is graded by its evidence: how many of the features it holds occur in toxic texts only (1 for one or
+none, and so on up to `grades` for that many or more), which is counted over the sample and takes no part of the fit.
 P(grade <= k) = logistic(threshold_k - w x): one sparse weight vector w (L1) is shared by all ordered thresholds.
 
 The model is fitted on a bounded sample of labelled rows (`per_class` of either label; never those held out). Candidate features
@@ -166,12 +167,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     nothing = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
     if not pos or not neg:
         return nothing
-    found = sample.select("__y", "__text").mapInArrow(present, ", ".join(f"{c} long" for c in ["f", "a", "b", *stem_columns])).groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), *[F.max(c).alias(c) for c in stem_columns])
+    found = sample.select("__y", "__text").mapInArrow(W.tidy(present), ", ".join(f"{c} long" for c in ["f", "a", "b", *stem_columns])).groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), *[F.max(c).alias(c) for c in stem_columns])
     odds = F.log((F.col("a") + 0.5) / (pos - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (neg - F.col("b") + 0.5))
     error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     best = found.where("a >= 3").withColumn("z", odds / error).where("z > 2").orderBy(F.desc("z"), "f").limit(candidates).select("f", "a", "b", *stem_columns).collect()
     if not best:
         return nothing
+    clean = {r["f"]: r["b"] for r in best}
     best = _least_stems([(r["f"], r["a"] * n[1]["weight"] / (r["a"] * n[1]["weight"] + r["b"] * n[0]["weight"]), [r[c] for c in stem_columns if r[c]]) for r in best])
     known = OrdinalModel(np.sort(np.array(best, np.int64).view(np.uint64)), np.zeros(len(best)), np.zeros(0))
 
@@ -187,19 +189,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), y.slice(lo, hi - lo), pa.array([f[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["id", "y", "f"])
 
     kind = sample.schema["__id"].dataType.simpleString()
-    rows = sample.select("__id", "__y", "__text").mapInArrow(active, f"id {kind}, y int, f binary").orderBy("id", "y", "f").collect()
+    rows = sample.select("__id", "__y", "__text").mapInArrow(W.tidy(active), f"id {kind}, y int, f binary").orderBy("id", "y", "f").collect()
     lists = [np.frombuffer(bytes(r["f"]), "<u2").astype(np.int64) for r in rows]
     y = np.array([r["y"] for r in rows])
     cols, at = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     weight = np.where(y == 1, n[1]["weight"], n[0]["weight"])
     weight /= weight.mean()
-    # evidence of a toxic row: features that the first, binary fit gives weight to
-    w, _ = fit_ordinal(at, cols, y, len(best), l1, weight=weight)
-    evidence = np.bincount(at, weights=w[cols] > 0.1, minlength=len(y))
-    grade = np.zeros(len(y), np.int64)
-    toxic = np.flatnonzero(y == 1)
-    order = toxic[np.lexsort((toxic, evidence[toxic]))]
-    grade[order] = 1 + np.arange(len(order)) * grades // max(1, len(order))
+    exclusive = np.isin(known.features, np.array([f for f, b in clean.items() if not b], np.int64).view(np.uint64))
+    evidence = np.bincount(at, weights=exclusive[cols], minlength=len(y)).astype(np.int64)
+    grade = np.where(y == 1, np.clip(evidence, 1, grades), 0)
     w, theta = fit_ordinal(at, cols, grade, len(best), l1, weight=weight)
     keep = np.flatnonzero(w)
     return OrdinalModel(known.features[keep], w[keep], theta)
@@ -216,7 +214,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
             p, expected = own.scores(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(expected), pa.array(np.rint(expected).astype(np.int32)), pa.array(p >= threshold)], names=[id_col, "score", "expected_severity", "severity", "toxic"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, expected_severity double, severity int, toxic boolean")
+    return docs.select(id_col, text_col).mapInArrow(W.tidy(run), f"`{id_col}` {kind}, score double, expected_severity double, severity int, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -228,7 +226,7 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text", thr
         for batch in batches:
             yield batch.filter(pa.array(sent.value.scores(batch.column(at))[0] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(W.tidy(run), docs.schema)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ of n bytes takes about 60 n bytes of memory while it is hashed.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +44,42 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        n = max(n, 1 << 21)
+        n = max(n, 1 << 20)
         up, down = np.full(n, _BASE, dtype=np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
         up[0] = down[0] = 1
         _powers[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
     return _powers[0], _powers[1]
 
 
+_lean = False
+
+
+def keep_lean() -> None:
+    """Has arrays of 8 MB and more mapped one by one, so that a worker gives their memory back when they go. Once per process."""
+    global _lean
+    if _lean:
+        return
+    _lean = True
+    pa.set_memory_pool(pa.system_memory_pool())
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)  # glibc has it
+    if mallopt is not None:
+        mallopt(-3, 8 << 20)
+        mallopt(-1, 32 << 20)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same map over batches, which gives back what memory the worker holds unused when it ends."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        keep_lean()
+        yield from run(batches)
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def blocks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of about `limit` bytes: first row, end row, the bytes, the rows' offsets in them. Null counts as empty."""
     column = column.cast(pa.large_binary())

@@ -142,7 +142,106 @@ def test_jaccard_families(spark):
     assert {i: r["n_similar"] for i, r in by_id(jaccard_join.jaccard_links(d)).items()} == want
 
 
-def test_packing(docs, odd, empty, rows):
+def test_jaccard_of_repeated_ids(spark, odd):
+    """Rows of one id are documents of their own, with links and components of their own."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(5, a), (5, b), (3, a + " more"), (9, b + " more"), (None, a), (7, None), (7, "alone"), (8, "long " + a + " w" * 50_000)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, __id int").repartition(2)
+    for options in ({}, {"known_travellers": 0}):
+        got = Counter((r["doc_id"], r["n_shingles"], r["n_similar"], r["component_id"]) for r in jaccard_join.jaccard_links(docs, **options).collect())
+        assert got == Counter([(5, 29, 3, None), (5, 29, 1, 5), (3, 30, 3, None), (9, 30, 1, 5), (None, 29, 3, None), (7, 0, 0, 7), (7, 1, 0, 7), (8, 32, 3, None)])
+    kept = jaccard_join.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(None, a), (5, b), (7, None), (7, "alone")])
+    raw = [(r["doc_id"], shingles(r["text"])) for r in odd.collect()]
+    want = Counter((i, len(x), sum(k != j and bool(x and y) and 100 * len(x & y) >= 60 * len(x | y) for j, (_, y) in enumerate(raw))) for k, (i, x) in enumerate(raw))
+    assert Counter((r["doc_id"], r["n_shingles"], r["n_similar"]) for r in jaccard_join.jaccard_links(odd).collect()) == want
+    assert jaccard_join.drop_near_copies(odd.limit(0)).count() == 0
+
+
+def entries(rng, lists, size, sizes):
+    import numpy as np
+
+    rec = np.empty(lists * size, jaccard_join._ENTRY)
+    rec["e"], rec["sig"], rec["g"] = np.repeat(np.arange(lists), size), np.arange(len(rec)) + 1, rng.integers(0, 50, len(rec))
+    rec["n"] = rng.integers(*sizes, len(rec))
+    rec["pos"] = rng.integers(0, rec["n"] * 2 // 5 + 1)
+    return rec
+
+
+def test_jaccard_lists_skip_by_position():
+    """The pairs of lists equal those of all pairs; a list whose positions forbid every pair costs next to nothing."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for lists, size, sizes in ((40, 5, (1, 30)), (3, 400, (5, 60)), (1, 700, (40, 50))):
+        rec = entries(rng, lists, size, sizes)
+        got = {(int(p["a"]), int(p["b"]), int(p["least"])) for out in jaccard_join._list_pairs(rec, 60, 100, most=5000) for p in out}
+        want = set()
+        for x in rec:
+            for y in rec:
+                if x["e"] == y["e"] and x["sig"] < y["sig"] and x["g"] != y["g"]:
+                    n, m = int(x["n"]), int(y["n"])
+                    need = -(-60 * (n + m) // 160)
+                    fits = lambda size, pos, need=need: min(6, need) + size - int(pos) - 1 >= need
+                    if 100 * min(n, m) >= 60 * max(n, m) and fits(n, x["pos"]) and fits(m, y["pos"]):
+                        want.add((int(x["sig"]), int(y["sig"]), min(6, need)))
+        assert got == want
+    rec = entries(rng, 1, 40_000, (1000, 1400))
+    rec["pos"] = rec["n"] * 39 // 100
+    begun = time.process_time()
+    assert not list(jaccard_join._list_pairs(rec, 60, 100)) and time.process_time() - begun < 2
+
+
+def test_jaccard_cells():
+    """Entries of a very frequent n-gram meet in cells, each pair of parts once; sets of large groups do, too."""
+    import numpy as np
+
+    n = 60
+    sig = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    elem, row, pos = jaccard_join._celled(np.full(n, 77, np.uint64), np.arange(n), np.arange(n) % 9, np.full(n, jaccard_join.LIST_BITS + 1), sig)
+    met = defaultdict(int)
+    for e in set(elem.tolist()):
+        own = np.flatnonzero(elem == e)
+        side = pos[own] >> 30
+        for i in range(len(own)):
+            for j in range(i):
+                met[tuple(sorted((int(row[own[i]]), int(row[own[j]]))))] += int(side[i] != side[j] or side[i] == 0)
+    assert all(met[i, j] == 1 for i in range(n) for j in range(i + 1, n))
+    table = np.full(1 << jaccard_join._GROUP_SLOTS, 1 + jaccard_join.GROUP_BITS + 1, np.uint8)
+    cells = defaultdict(list)
+    for s in sig.view(np.int64).tolist():
+        for cell, side in jaccard_join._cells(table, 12345, s):
+            cells[cell].append((s, side))
+    met = Counter(frozenset((a, b)) for own in cells.values() for a, x in own for b, y in own if a < b and (x != y or x == 0))
+    assert len(met) == n * (n - 1) // 2 and set(met.values()) == {1}
+
+
+@pytest.mark.parametrize("sided", [False, True])
+def test_jaccard_groups_equal_brute_force(sided):
+    import numpy as np
+
+    rng = random.Random(6)
+    for trial in range(40):
+        base = rng.sample(range(5000), rng.choice([6, 40]))
+        sets = []
+        for k in range(rng.choice([2, 9, 30])):
+            x = {v if rng.random() > 0.2 * (trial % 3) else rng.randrange(5000) for v in base} | set(rng.sample(range(60), rng.randint(0, 3)))
+            sets.append((k * 7 - 50, rng.randint(1, 4), rng.choice([1, 2]) if sided else 0, np.array(sorted(x), np.uint64)))
+        cell = jaccard_join._Cell(sets, 60, 100)
+        cell.solve()
+        link = lambda a, b: 160 * len(set(a.tolist()) & set(b.tolist())) >= 60 * (len(a) + len(b))
+        pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j and (not sided or sets[i][2] != sets[j][2]) and link(sets[i][3], sets[j][3])]
+        assert cell.add.tolist() == [sum(sets[j][1] for i, j in pairs if i == k) for k in range(len(sets))]
+        assert all(cell.root[i] == cell.root[j] for i, j in pairs)
+        g = np.array(sorted(set(base[:-1]) | {9999}), np.uint64)
+        before, found = cell.add.copy(), cell.guest(999, 3, g, [x[0] for x in sets] + [12345])
+        linked = [k for k, x in enumerate(sets) if link(g, x[3])]
+        assert (found[1] if found else 0) == sum(sets[k][1] for k in linked)
+        assert (cell.add - before).tolist() == [3 * (k in linked) for k in range(len(sets))]
+
+
+def test_packing(spark, docs, odd, empty, rows):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_tokenizer())
@@ -164,7 +263,29 @@ def test_packing(docs, odd, empty, rows):
 
     alone = len(packing.best_fit(np.array([p["length"] for p in pieces]), 256)[2])  # all in one partition
     assert alone <= len(bins) <= 1.15 * alone
-    assert packing.pack_documents(odd, packing.default_tokenizer()).select("doc_id").count() >= odd.count() and packing.pack_documents(empty, packing.default_tokenizer()).count() == 0
+    assert packing.pack_documents(empty, packing.default_tokenizer()).count() == 0
+    extra = spark.createDataFrame([(77, "long text " * 60_000), (77, None), (None, "")], "doc_id long, text string")
+    whole = odd.select("doc_id", "text").unionByName(extra)
+    own = packing.pack_documents(whole, packing.default_tokenizer()).collect()
+    size = lambda t: len(tok.encode(t or "", add_special_tokens=False).ids) + 1
+    assert Counter((r["doc_id"], n) for r in whole.collect() for n in [4096] * (size(r["text"]) // 4096) + [size(r["text"]) % 4096] if n) == Counter((p["doc_id"], p["length"]) for p in own)
+
+
+def test_packing_tree_is_close_to_one_partition(spark):
+    """Several partitions and two rounds of merging: at most 1 % more bins than best fit over all pieces at once."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sizes = np.minimum(np.exp(rng.normal(5.5, 1.2, 6000)).astype(int) + 1, 4096)
+    pieces = spark.createDataFrame([(i, int(x)) for i, x in enumerate(sizes)], "id long, length long")
+    packed = packing.pack(pieces, ["id"], part_items=500, fan_in=4).collect()
+    bins = defaultdict(list)
+    for r in packed:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in bins.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(n for _, n in own) <= 4096
+    assert len(packed) == 6000 and len(bins) <= 1.01 * len(packing.best_fit(sizes, 4096)[2])
 
 
 def test_decontamination(spark, docs, odd, empty, rows):
@@ -210,21 +331,44 @@ def test_decontamination(spark, docs, odd, empty, rows):
     assert decontamination.hit_spans(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
-def test_substring_dedup(docs, odd, empty, rows):
+def brute_repeats(rows):
+    """(id, n_words, n_removed, kept text) of (id, text) rows in order; rows that repeat id and text share one decision."""
+    seen, out, done = set(), [], {}
+    for i, t in rows:
+        if (i, t or "") not in done:
+            w, gone = re.findall(r"[^\x20\x09-\x0D]+", t or ""), set()
+            for k in range(len(w) - 19):
+                x = tuple(w[k : k + 20])
+                if x in seen:
+                    gone |= set(range(k, k + 20))
+                seen.add(x)
+            done[i, t or ""] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+        out.append((i, *done[i, t or ""]))
+    return out
+
+
+def test_substring_dedup(spark, docs, odd, empty, rows):
     found = by_id(substring_dedup.repeats(docs, slot_bits=16, with_text=True))
-    seen = set()
-    for i, t, *_ in sorted(rows):
-        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
-        gone = set()
-        for k in range(len(w) - 19):
-            x = tuple(w[k : k + 20])
-            if x in seen:
-                gone |= set(range(k, k + 20))
-            seen.add(x)
-        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+    for i, n, gone, kept in brute_repeats(sorted((i, t) for i, t, *_ in rows)):
         r = found[i]
-        assert (r["n_words"], r["n_removed"], r["kept_text"], r["kept_sha256"]) == (len(w), len(gone), kept, hashlib.sha256(kept.encode()).hexdigest())
-    assert substring_dedup.repeats(odd).count() == odd.count() and substring_dedup.repeats(empty).count() == 0
+        assert (r["n_words"], r["n_removed"], r["kept_text"], r["kept_sha256"]) == (n, gone, kept, hashlib.sha256(kept.encode()).hexdigest())
+    assert substring_dedup.repeats(empty).count() == 0 and substring_dedup.drop_repeats(empty).count() == 0
+    # null ids come first; repeated rows share a decision
+    own = sorted(((r["doc_id"], r["text"]) for r in odd.collect()), key=lambda x: (x[0] is not None, x[0] or 0))
+    want = Counter((i, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for i, n, gone, kept in brute_repeats(own))
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.repeats(odd).collect()) == want
+    # runs of one word, long ones too, and texts that consist of few words
+    rng = random.Random(12)
+    texts = ["a " * k for k in (19, 20, 21, 55)] + ["x " + "b " * 30 + "y", "z " + "b " * 24 + "y", "b " * 25 + "y"] + [" ".join(rng.choices("pq", k=400)) for _ in range(6)]
+    texts += [" ".join(x for _ in range(40) for x in [rng.choice("rst")] * rng.choice([1, 1, 2, 9])) for _ in range(12)] + ["long " * 70_000 + "end"]
+    passage = " ".join(f"m{k // 3}" for k in range(60))
+    texts += [f"{'m0 ' * k}{passage}{' m19' * k} tail{k}" for k in range(5)]
+    runs = spark.createDataFrame([(i, t, len(t), 1) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int, __row int").repartition(3)
+    found, kept = by_id(substring_dedup.repeats(runs)), by_id(substring_dedup.drop_repeats(runs))
+    assert substring_dedup.drop_repeats(runs).columns == runs.columns
+    for i, n, gone, left in brute_repeats(enumerate(texts)):
+        assert (found[i]["n_words"], found[i]["n_removed"], found[i]["kept_sha256"]) == (n, gone, hashlib.sha256(left.encode()).hexdigest()), i
+        assert kept[i]["text"] == (left if gone else texts[i]) and kept[i]["n_chars"] == len(kept[i]["text"]) and kept[i]["__row"] == 1
 
 
 def test_substring_anchor_choice():
@@ -232,11 +376,11 @@ def test_substring_anchor_choice():
     from sparkloom.llm import wordhash as W
 
     rng = random.Random(1)
-    for trial in range(60):
-        core = rng.choices("abcde" if trial % 2 else "ab", k=20)
+    for trial in range(300):
+        core = rng.choices(["abcde", "ab", [f"w{i}" for i in range(400)]][trial % 3], k=20)
         seen = set()
         for _ in range(12):
-            text = " ".join(rng.choices("abcde", k=rng.randint(0, 30)) + core + rng.choices("abcde", k=rng.randint(0, 30)))
+            text = " ".join(rng.choices(["a", "b", core[0], core[-1], "w1"], k=rng.randint(0, 30)) + core + rng.choices(["a", "b", core[0], core[-1], "w2"], k=rng.randint(0, 30)))
             for _, _, buf, off in W.blocks(pa.array([text])):
                 h, _, _, at = W.words(buf, off, W.BYTES, W.NOT_SPACE)
                 p, anchor, _, _ = substring_dedup.window_anchors(h, at, 20)
@@ -469,6 +613,10 @@ def labelled(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, score string"), spark.createDataFrame([*labels, (5, None, None), (None, 1, 1), (77, *labels[77][1:])], "doc_id long, quality int, toxic int")
 
 
+def toxicity_of(text, model):
+    return float(model.scores(pa.array([text]))[1][0])
+
+
 def test_toxicity(labelled, empty):
     docs, labels = labelled
     model = toxicity.train(docs, labels, per_class=400)
@@ -480,7 +628,14 @@ def test_toxicity(labelled, empty):
     assert all(0 <= r["score"] <= 1 and 0 <= r["expected_severity"] <= 3 for r in found.values())
     kept = toxicity.drop_toxic(docs, model)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in found.items() if not r["toxic"]}
-    assert toxicity.score(empty, model).count() == 0
+    assert toxicity.score(empty, model).count() == 0 and toxicity.drop_toxic(empty, model).count() == 0
+    severity = {i: toxicity_of(t, model) for i, t in enumerate(["w1 moron w2", "moron w2 scum", "moron scum vequaaa w1"])}
+    assert severity[0] < severity[1] < severity[2]  # more distinct toxic words are a higher grade
+    odd = docs.sparkSession.createDataFrame([(None, "w1 MORON, w3", 1), (7, "w1 MORON, w3", 2), (7, "w1 MORON, w3", 2), (7, None, None), (None, "long " * 70_000 + "moron", 3)], "doc_id long, text string, score int")
+    assert Counter((r["doc_id"], r["toxic"]) for r in toxicity.score(odd, model).collect()) == Counter([(None, True), (7, True), (7, True), (7, False), (None, True)])
+    assert [tuple(r) for r in toxicity.drop_toxic(odd, model).collect()] == [(7, None, None)]
+    with_odd = toxicity.train(docs.unionByName(odd.withColumn("score", F.col("score").cast("string"))), labels.unionByName(labels.limit(5)), per_class=400)
+    assert len(with_odd.features) and toxicity.train(empty, labels).thresholds.size == 0
     blank = toxicity.train(docs, labels.limit(0))
     assert toxicity.score(docs, blank).where("toxic").count() == 0
 
@@ -493,6 +648,9 @@ def test_quality(labelled, empty):
     assert all(found[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in found)
     assert sum(found[i]["predicted"] == truth[i] for i in out) >= 0.95 * len(out) and all(0 <= r["score"] <= 1 for r in found.values())
     assert quality.score(empty, rules).count() == 0
+    odd = docs.sparkSession.createDataFrame([(None, None, 1), (7, None, 2), (7, "w1 w2", 2), (7, "w1 w2", 2), (8, "long " * 70_000, 3)], "doc_id long, text string, score int")
+    got = quality.score(odd, rules).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter([None, 7, 7, 7, 8]) and len({(r["doc_id"], r["score"]) for r in got}) <= 4 and all(0 <= r["score"] <= 1 for r in got)
     assert {r["score"] for r in quality.score(docs, quality.train(docs, labels.limit(0))).select("score").distinct().collect()} == {0.5}
 
 

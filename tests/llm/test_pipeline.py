@@ -78,3 +78,27 @@ def test_stages(spark):
     for r in corpus_pipeline.run(spark, SF).collect():
         pieces[r["doc_id"]] += r["length"]
     assert pieces == {i: len(tok.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for i, r in after.items()}
+
+
+ODD = [(None, None), (1, None), (1, ""), (2, "\n"), (3, "one text that stands here"), (3, "another text under the same id"), (4, "ONE text that stands here"), (4, "ONE text that stands here"), (None, "one text that stands here"), (5, "long " * 30_000)]
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_stages_on_odd_and_no_rows(spark, rows):
+    """Null ids and texts, ids that rows share, repeated rows, a long text, a further column with a name of the operators' own; and no rows at all."""
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __id int").repartition(2)
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).persist()
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "__id"]
+        left[name] = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    if not rows:
+        assert not any(left.values()) and not pieces
+        return
+    assert left["toxicity"] == sorted(rows, key=str)
+    # of the null and the empty text the larger id stays, of the copies of one text that of id 4, once
+    kept = [x for x in left["exact_dedup"] if x[1]]
+    assert sorted(kept, key=str) == sorted([(2, "\n"), (3, "another text under the same id"), (4, "ONE text that stands here"), (5, "long " * 30_000)], key=str)
+    assert len(left["exact_dedup"]) == 5 and left["ngram_jaccard_join"] == left["exact_dedup"] == left["benchmark_decontamination"]
+    assert sum(p["length"] for p in pieces if p["doc_id"] == 5) > 30_000 and all(len(p["ids"]) == p["length"] for p in pieces)
