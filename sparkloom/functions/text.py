@@ -30,6 +30,11 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(_TOKEN), F.lit(1))
 
 
+def spaced_tokens(text: Column | str) -> Column:
+    """Tokens with the white space around them: joined again they are the text."""
+    return F.regexp_extract_all(_c(text), F.lit(r"(\s*(?:[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_])\s*)"), F.lit(1))
+
+
 def count_tokens(text: Column | str) -> Column:
     return F.coalesce(F.size(tokens(text)), F.lit(0)).cast("long")
 

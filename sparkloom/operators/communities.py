@@ -1,7 +1,8 @@
-"""Community detection: deterministic Leiden per connected component, label propagation, merging of small communities, splits."""
+"""Community detection: deterministic Louvain moves with connected communities (a simplified Leiden) per connected component, label propagation, merging of small communities, splits."""
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 
 import numpy as np
@@ -66,7 +67,7 @@ def _local_moves(adj: dict, label: dict, total: float, loops: dict | None = None
 
 
 def _connected_parts(adj: dict, label: dict) -> dict:
-    """Every community cut into its connected parts, so that none is disconnected (the refinement Leiden is named for)."""
+    """Every community cut into its connected parts, so that none is disconnected. It is the part of Leiden's refinement that this has."""
     out, seen = {}, 0
     for a in sorted(adj):
         if a in out:
@@ -167,6 +168,34 @@ def merge_small(centroid_pairs: DataFrame, small: DataFrame) -> DataFrame:
     return small.join(labels, small["community"] == labels["node"], "left").select("community", F.coalesce(F.concat(F.lit("merged-"), F.col("component").cast("string")), F.lit("misc")).alias("merged"))
 
 
+def greedy_modularity(edges: list[tuple[str, str]]) -> dict[str, int]:
+    """Communities by merging, again and again, the two of largest gain in modularity until none gains (ties by name); unweighted edges."""
+    adj = _adjacency([(a, b, 1.0) for a, b in edges])
+    total = float(sum(len(x) for x in adj.values()))
+    between = {a: {b: 1.0 for b in near if b != a} for a, near in adj.items()}
+    share = {a: len(near) / total for a, near in adj.items()}
+    into = {a: [a] for a in adj}
+    gain = lambda a, b: 2 * (between[a][b] / total - share[a] * share[b])
+    heap = [(-gain(a, b), a, b) for a in between for b in between[a] if a < b]
+    heapq.heapify(heap)
+    while heap:
+        g, a, b = heapq.heappop(heap)
+        if a not in between or b not in between[a] or abs(gain(a, b) + g) > 1e-15:
+            continue  # what was merged or has changed since
+        if -g <= 1e-12:
+            break
+        for x, w in between.pop(b).items():
+            del between[x][b]
+            if x != a:
+                between[a][x] = between[x][a] = between[a].get(x, 0.0) + w
+        share[a] += share.pop(b)
+        into[a] += into.pop(b)
+        for x in between[a]:
+            p, q = min(a, x), max(a, x)
+            heapq.heappush(heap, (-gain(p, q), p, q))
+    return {x: i for i, (_, own) in enumerate(sorted(into.items())) for x in own}
+
+
 def split_folder(edges: DataFrame, members: DataFrame, least: int = 3, most_between: float = 0.5) -> DataFrame:
     """Folders that fall into two parts of `least` nodes or more with few edges between: community, part_a, part_b, within, between, ratio."""
     a, b = members.select(F.col("name").alias("source"), "community"), members.select(F.col("name").alias("target"), "community")
@@ -174,7 +203,7 @@ def split_folder(edges: DataFrame, members: DataFrame, least: int = 3, most_betw
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         own = list(zip(part["source"], part["target"], np.ones(len(part)), strict=True))
-        found = leiden(own)
+        found = greedy_modularity([(a, b) for a, b, _ in own])
         by: dict[int, list[str]] = defaultdict(list)
         for x, c in found.items():
             by[c].append(x)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,22 +16,31 @@ def budget_prefix(rows: DataFrame, cost: str, budget: int, order: list[Column |
 
 
 def greedy_batches(rows: DataFrame, cost: str, budget: int, most: int, order: list[str], keys: list[str]) -> DataFrame:
-    """Adds batch numbers: a batch closes when the next item would pass the budget or the count; its first item always enters. The fold
-    runs within a key, whose rows are one context."""
-    items = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(cost).cast("long").alias("__c")))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
+    """Adds batch numbers: a batch closes when the next item would pass the budget or the count; its first item always enters. Rows of a key go by in
+    order, one running sum is all that is held."""
+    own = rows.select(*keys, *order, F.col(cost).cast("long").alias(cost))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema) + ", batch int"
 
-    def step(s: Column, x: Column) -> Column:
-        over = (s["n"] > 0) & ((s["used"] + x["__c"] > budget) | (s["n"] >= most))
-        batch = F.when(over, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(F.when(over, x["__c"]).otherwise(s["used"] + x["__c"]).alias("used"), F.when(over, F.lit(1)).otherwise(s["n"] + 1).alias("n"), batch.alias("batch"), F.concat(s["out"], F.array(batch)).alias("out"))
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, used, n, batch = None, 0, 0, 0
+        for part in parts:
+            out = []
+            costs = part.column(part.num_columns - 1).to_pylist()
+            for key, c in zip(zip(*(part.column(k).to_pylist() for k in range(len(keys))), strict=True), costs, strict=True):
+                if key != here:
+                    here, used, n, batch = key, 0, 0, 0
+                elif used + (c or 0) > budget or n >= most:
+                    used, n, batch = 0, 0, batch + 1
+                used, n = used + (c or 0), n + 1
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int32())], names=[*part.schema.names, "batch"])
 
-    folded = items.withColumn("batches", F.aggregate("items", start, step)["out"])
-    return folded.select(*keys, F.explode(F.arrays_zip("items", "batches")).alias("z")).select(*keys, *[F.col(f"z.items.{c}").alias(c) for c in order], F.col("z.items.__c").alias(cost), F.col("z.batches").alias("batch"))
+    return own.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def chunk_windows(docs: DataFrame, tokens: Column, size: int, overlap: int, id_col: str = "doc_id") -> DataFrame:
-    """(id, chunk, start, n_tokens, text): windows of `size` tokens, each starting size - overlap behind the last, until one reaches the end."""
+def chunk_windows(docs: DataFrame, tokens: Column, size: int, overlap: int, id_col: str = "doc_id", glue: str = " ") -> DataFrame:
+    """(id, chunk, start, n_tokens, text): windows of `size` tokens, each starting size - overlap behind the last, until one reaches the end. With
+    tokens that keep their white space (`text.spaced_tokens`) and an empty glue the texts are verbatim."""
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
     step = size - overlap
@@ -36,7 +48,7 @@ def chunk_windows(docs: DataFrame, tokens: Column, size: int, overlap: int, id_c
     last = F.greatest(F.ceil((F.col("n") - size) / step), F.lit(0)).cast("int")
     each = t.withColumn("chunk", F.explode(F.sequence(F.lit(0), last))).withColumn("start", F.col("chunk") * step)
     part = F.slice("t", F.col("start") + 1, F.lit(size))
-    return each.select(id_col, "chunk", "start", F.size(part).alias("n_tokens"), F.array_join(part, " ").alias("text"))
+    return each.select(id_col, "chunk", "start", F.size(part).alias("n_tokens"), F.array_join(part, glue).alias("text"))
 
 
 def interval_join(chunks: DataFrame, spans: DataFrame, bucket: int) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import clean_name, clean_type
+from sparkloom.session import materialise
 
 
 def parse_records(replies: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -31,24 +36,33 @@ def parse_records(replies: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 
 def rollup_entities(raw: DataFrame) -> DataFrame:
-    """One row per name: type and source of the first mention, latest time, least confidence, distinct sorted text units and documents."""
+    """One row per name: type and source of the first mention, latest time, least confidence, n_tu and n_doc, the numbers of distinct text units and
+    documents. They are counted in two steps, so nothing is gathered for a hot name; which units they are stays as rows (see `linking.postings`)."""
     order = F.struct("tu", "type")
-    return raw.groupBy("name").agg(
-        F.min_by("type", F.when(F.col("type") != "", order)).alias("type"),
-        F.array_sort(F.collect_set("tu")).alias("text_unit_ids"),
-        F.array_sort(F.collect_set("doc")).alias("document_ids"),
-        F.max("observed_at").alias("observed_at"),
-        F.min("confidence").alias("confidence"),
-        F.min_by("source", order).alias("source"),
+    units = raw.groupBy("name", "tu").agg(F.min(F.when(F.col("type") != "", F.col("type"))).alias("type"), F.max("observed_at").alias("observed_at"), F.min("confidence").alias("confidence"), F.min(F.struct("type", "source")).alias("s"))
+    by_unit = units.groupBy("name").agg(
+        F.min_by("type", F.when(F.col("type").isNotNull(), order)).alias("type"), F.count("*").alias("n_tu"), F.max("observed_at").alias("observed_at"), F.min("confidence").alias("confidence"), F.min_by(F.col("s.source"), F.struct("tu", "s.type")).alias("source")
     )
+    by_doc = raw.select("name", "doc").distinct().groupBy("name").agg(F.count("*").alias("n_doc"))
+    return by_unit.join(by_doc, "name").select("name", "type", "n_tu", "n_doc", "observed_at", "confidence", "source")
 
 
-def rollup_relationships(raw: DataFrame) -> DataFrame:
-    """One row per unordered pair and type, self-loops dropped; weights are averaged."""
+def rollup_relationships(raw: DataFrame, units: bool = False) -> DataFrame:
+    """One row per unordered pair and type, self-loops dropped; weights are averaged. units: n_tu too, the number of distinct text units."""
+    keys = ["source", "target", "relationship_type"]
     a, b = F.least("source", "target"), F.greatest("source", "target")
-    return raw.where("source <> target").select(a.alias("source"), b.alias("target"), "relationship_type", "weight", "tu", "doc", "observed_at", "confidence").groupBy("source", "target", "relationship_type").agg(
-        F.avg("weight").alias("weight"), F.array_sort(F.collect_set("tu")).alias("text_unit_ids"), F.max("observed_at").alias("observed_at"), F.min("confidence").alias("confidence")
-    )
+    own = raw.where("source <> target").select(a.alias("source"), b.alias("target"), "relationship_type", "weight", *["tu"] * units, "observed_at", "confidence")
+    facts = [F.max("observed_at").alias("observed_at"), F.min("confidence").alias("confidence")]
+    if not units:
+        return own.groupBy(*keys).agg(F.avg("weight").alias("weight"), *facts)
+    each = own.groupBy(*keys, "tu").agg(F.sum("weight").alias("w"), F.count("weight").alias("n"), *facts)
+    return each.groupBy(*keys).agg((F.sum("w") / F.sum("n")).alias("weight"), F.count("*").alias("n_tu"), *facts)
+
+
+def entity_units(raw: DataFrame) -> DataFrame:
+    """(name, tu) once each, with type, observed_at, confidence and source: what an upsert merges row by row."""
+    best = F.min(F.struct("type", "source")).alias("s")
+    return raw.groupBy("name", "tu").agg(best, F.max("observed_at").alias("observed_at"), F.min("confidence").alias("confidence")).select("name", "tu", "s.type", "observed_at", "confidence", "s.source")
 
 
 def degrees(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
@@ -74,12 +88,12 @@ def neighbours(edges: DataFrame) -> DataFrame:
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """(name, hop): every node within `hops` of the seeds and its distance."""
-    both = neighbours(edges.withColumn("weight", F.lit(1.0))).select("a", "b").distinct()
-    reached = seeds.select("name", F.lit(0).alias("hop")).distinct()
-    front = reached
+    """(name, hop): every node within `hops` of the seeds and its distance. The edges and every frontier are written once."""
+    both = materialise(neighbours(edges.withColumn("weight", F.lit(1.0))).select("a", "b").distinct(), "hop-edges")
+    reached = front = materialise(seeds.select("name", F.lit(0).alias("hop")).distinct(), "hop")
     for h in range(1, hops + 1):
-        front = front.join(both, front["name"] == both["a"]).select(F.col("b").alias("name")).distinct().join(reached, "name", "left_anti").withColumn("hop", F.lit(h))
+        front = front.select(F.col("name").alias("a")).join(both, "a").select(F.col("b").alias("name")).distinct().join(reached, "name", "left_anti").withColumn("hop", F.lit(h))
+        front = materialise(front, "hop")
         reached = reached.unionByName(front)
     return reached
 
@@ -103,3 +117,51 @@ def pull(edges: DataFrame, members: DataFrame) -> DataFrame:
     votes = neighbours(simple_graph(edges)).join(members.select(F.col("name").alias("b"), "community"), "b").groupBy(F.col("a").alias("name"), "community").agg(F.count("*").alias("votes"))
     best: Column = F.max(F.struct("votes", F.col("community").alias("c")))
     return votes.groupBy("name").agg(best.alias("m"), F.sum("votes").alias("neighbours")).select("name", F.col("m.c").alias("community"), F.col("m.votes").alias("votes"), "neighbours", (F.col("m.votes") / F.col("neighbours")).alias("ratio"))
+
+
+def betweenness(edges: DataFrame, most: int = 20_000) -> DataFrame:
+    """(name, betweenness): the share of shortest paths between other nodes that lead through a node, of undirected unweighted graphs. Every node is a source
+    of its own (Brandes), so sources are spread over tasks and each task holds the graph: graphs of more than `most` edges are refused."""
+    own = [(r["source"], r["target"]) for r in simple_graph(edges).select("source", "target").limit(most + 1).collect()]
+    if len(own) > most:
+        raise ValueError(f"more than {most} edges")
+    near: dict[str, list[str]] = {}
+    for a, b in own:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    pairs = max(1, (len(near) - 1) * (len(near) - 2))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            total = dict.fromkeys(near, 0.0)
+            for s in part["name"]:
+                order, before, paths, hop = [], {s: []}, {s: 1.0}, {s: 0}
+                queue = deque([s])
+                while queue:
+                    x = queue.popleft()
+                    order.append(x)
+                    for y in near[x]:
+                        if y not in hop:
+                            hop[y], paths[y], before[y] = hop[x] + 1, 0.0, []
+                            queue.append(y)
+                        if hop[y] == hop[x] + 1:
+                            paths[y] += paths[x]
+                            before[y].append(x)
+                share = dict.fromkeys(order, 0.0)
+                for y in reversed(order):
+                    for x in before[y]:
+                        share[x] += paths[x] / paths[y] * (1 + share[y])
+                    if y != s:
+                        total[y] += share[y]
+            yield pd.DataFrame({"name": list(total), "b": [x / pairs for x in total.values()]})
+
+    names = edges.sparkSession.createDataFrame([(x,) for x in sorted(near)], "name string")
+    return names.mapInPandas(run, "name string, b double").groupBy("name").agg(F.sum("b").alias("betweenness"))
+
+
+def component_summary(edges: DataFrame) -> DataFrame:
+    """One row: how many connected components there are, and the size of the largest."""
+    from sparkloom.operators.components import connected_components
+
+    size = connected_components(edges, "source", "target").groupBy("component").agg(F.count("*").alias("n"))
+    return size.agg(F.count("*").alias("components"), F.max("n").alias("largest"))

@@ -31,3 +31,11 @@ def macro_average(scores: DataFrame, category: str, system: str, value: str) ->
     """Mean per system of its category means."""
     by = scores.groupBy(category, system).agg(F.avg(value).alias("m"))
     return by.groupBy(system).agg(F.avg("m").alias("overall"), F.count("*").alias("categories"))
+
+
+def best_delta(overall: DataFrame, system: str, value: str) -> DataFrame:
+    """Adds `delta`, how far each system is above the best of the others (null where it is alone). There are few systems: the two best are one row."""
+    two = overall.select(F.col(value).alias("v"), F.col(system).alias("s")).orderBy(F.desc("v"), "s").limit(2).agg(F.sort_array(F.collect_list(F.struct("v", "s")), False).alias("__top"))
+    first, second = F.try_element_at("__top", F.lit(1)), F.try_element_at("__top", F.lit(2))
+    other = F.when(F.col(system) == first["s"], second["v"]).otherwise(first["v"])
+    return overall.join(F.broadcast(two)).withColumn("delta", F.col(value) - other).drop("__top")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import words
+from sparkloom.session import materialise
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,9 +33,11 @@ def vector_top_k(rows: DataFrame, query: list[float], k: int, vector: str = "emb
     return kept.withColumn("score", cosine(F.col(vector), q)).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def similar_pairs(rows: DataFrame, threshold: float, vector: str = "embedding", id_col: str = "vec_id", blocks: int = 8) -> DataFrame:
-    """(a, b, score) of all pairs with cosine >= threshold, a < b. Rows fall into blocks by id hash; each pair of blocks meets in one task as
-    two matrices. A task holds two blocks, so `blocks` grows with the data; null vectors and zero vectors have no pairs."""
+def similar_pairs(rows: DataFrame, threshold: float, vector: str = "embedding", id_col: str = "vec_id", block_rows: int = 4096) -> DataFrame:
+    """(a, b, score) of all pairs with cosine >= threshold, a < b. Rows fall into blocks of about `block_rows` by id hash; each pair of blocks meets in
+    one task as two matrices, so a task's size is fixed and the number of tasks grows with the square of the rows: all pairs are compared, by
+    design. Null vectors and zero vectors have no pairs."""
+    blocks = max(4, -(-rows.count() // block_rows))
     kind = rows.schema[id_col].dataType.simpleString()
     own = rows.select(F.col(id_col).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("b")).where("v is not null")
     other = F.sequence(F.lit(0), F.lit(blocks - 1))
@@ -58,10 +61,13 @@ def similar_pairs(rows: DataFrame, threshold: float, vector: str = "embedding",
 
 
 def bm25(docs: DataFrame, query_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(id, bm25) of documents that hold a query word. query_words has one row per occurrence in the query: repeated words count again.
-    Only postings of query words leave the scan."""
-    q = query_words.groupBy("word").agg(F.count("*").alias("times"))
-    sized = docs.select(F.col(id_col).alias("id"), words(text_col).alias("w")).withColumn("len", F.size("w"))
+    """(id, bm25) of documents that hold a query word. query_words has one row per occurrence in the query: repeated words count again. Texts are
+    split once; only lengths and the query's words leave the scan. The query's words are collected: a query is small."""
+    times = {r["word"]: r["count"] for r in query_words.groupBy("word").count().collect()}
+    q = docs.sparkSession.createDataFrame(list(times.items()), "word string, times long")
+    known = F.array(*map(F.lit, times)) if times else F.array().cast("array<string>")
+    split = docs.select(F.col(id_col).alias("id"), words(text_col).alias("w"))
+    sized = materialise(split.select("id", F.size("w").alias("len"), F.filter("w", lambda x: F.array_contains(known, x)).alias("w")), "bm25")
     total = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
     tf = sized.select("id", "len", F.explode("w").alias("word")).join(F.broadcast(q), "word").groupBy("id", "len", "word", "times").agg(F.count("*").alias("tf"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
@@ -77,10 +83,14 @@ def normalised(scores: DataFrame, *columns: str) -> DataFrame:
 
 
 def ranked(scores: DataFrame, by: str, id_col: str = "id", keys: list[str] | None = None, keep: int | None = None) -> DataFrame:
-    """Adds rank from 0 (largest score first, ties by id) within keys, such as the path. Without keys a limit must bound the list: the first
-    `keep` rows are taken before the window."""
+    """Adds rank from 0 (largest score first, ties by id) within keys, such as the path. With `keep` only the first rows; without keys these are
+    taken before the window. Without keys and `keep` all rows are numbered over sorted ranges."""
+    if not keys and keep is None:
+        from sparkloom.operators.linking import numbered
+
+        return numbered(scores.withColumn("__by", -F.col(by)), ["__by", id_col], "rank").drop("__by")
     if not keys:
-        scores = scores.orderBy(F.desc(by), id_col).limit(keep or 1000)
+        scores = scores.orderBy(F.desc(by), id_col).limit(keep)
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc(by), id_col)
     out = scores.withColumn("rank", F.row_number().over(w) - 1)
     return out.where(F.col("rank") < keep) if keep else out
@@ -105,6 +115,25 @@ def fuse_quorum(lists: DataFrame, k: int = 60, bonus: float = 1.5, malus: float
     return lists.groupBy("id").agg((F.sum(1.0 / (k + F.col("rank") + 1)) * F.when(F.countDistinct("path") >= 2, F.lit(bonus)).otherwise(F.lit(malus))).alias("score"))
 
 
+def fuse_paths(lists: DataFrame, paths: list[str], k: int = 60) -> DataFrame:
+    """Only these paths are fused, such as the textual ones."""
+    return fuse(lists.where(F.col("path").isin(paths)), k)
+
+
+def fuse_cascade(lists: DataFrame, gate_path: str, top: int, rescue: int, k: int = 60) -> DataFrame:
+    """All paths are fused; ids among the first `top` of the gate's path come through, and the `rescue` best of the others: id, score, rescued."""
+    gate = lists.where((F.col("path") == gate_path) & (F.col("rank") < top)).select("id")
+    return cascade(fuse(lists, k).withColumn("score", F.round("score", 12)), gate, rescue)
+
+
+def community_rank(mentions: DataFrame, seeds: DataFrame, members: DataFrame, seed: float = 2.0, other: float = 0.5) -> DataFrame:
+    """Text units (tu) by communities: each distinct seed they mention counts `seed`, each other member of a seed's community `other`."""
+    own = members.join(seeds, "name", "left_semi").select("community").distinct()
+    near = members.join(own, "community", "left_semi").select("name").distinct().join(seeds, "name", "left_anti")
+    weight = seeds.select("name", F.lit(seed).alias("w")).unionByName(near.select("name", F.lit(other).alias("w")))
+    return mentions.select("tu", "name").distinct().join(weight, "name").groupBy("tu").agg(F.sum("w").alias("score"))
+
+
 def fuse_scores(lists: DataFrame, k: int = 60) -> DataFrame:
     """Each contribution is weighted by the row's score over the path's best."""
     best = lists.groupBy("path").agg(F.max("score").alias("best"))

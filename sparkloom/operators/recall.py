@@ -89,11 +89,15 @@ def communities_of_level(communities: DataFrame, level: str | int, min_size: int
     return joined.where(wanted & (F.col("size") >= min_size)).select(*communities.columns)
 
 
-def resolve_documents(documents: DataFrame, wanted: str, id_col: str = "id", path_col: str = "path", title_col: str = "title") -> DataFrame:
-    """Documents of the first tier that has any: equal id, path that contains the text, title that contains it (any case)."""
+def resolve_documents(documents: DataFrame, wanted: str, id_col: str = "id", path_col: str = "path", title_col: str = "title", mapping: DataFrame | None = None) -> DataFrame:
+    """Documents of the first tier that has any: equal id, path that contains the text, title that contains it, mapped path (mapping: id, mapped)
+    that contains it (any case)."""
     low = wanted.lower()
+    own = documents if mapping is None else documents.join(mapping.select(F.col("id").alias("__mid"), "mapped"), F.col(id_col) == F.col("__mid"), "left")
     tier = F.when(F.col(id_col).cast("string") == wanted, 0).when(F.lower(path_col).contains(low), 1).when(F.lower(title_col).contains(low), 2)
-    found = documents.withColumn("tier", tier).where("tier is not null")
+    if mapping is not None:
+        tier = tier.when(F.lower("mapped").contains(low), 3)
+    found = own.withColumn("tier", tier).where("tier is not null")
     return found.join(F.broadcast(found.agg(F.min("tier").alias("__least"))), F.col("tier") == F.col("__least")).select(*documents.columns, "tier")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from sparkloom.functions.text import matches_category
 from sparkloom.operators import communities, export, graph, ledger, maintain, ranking, recall, similar
 from sparkloom.operators.components import connected_components
 from sparkloom.plans.registry import query
+from sparkloom.session import materialise
 from sparkloom.sources import graph_tables as G
 from sparkloom.sources.graph_tables import with_sql
 
@@ -22,8 +25,8 @@ _MEMBERS = "mb AS (SELECT name, category AS community FROM fo)"
 _TRADE = "tr AS (SELECT c AS source, s AS target, count(*) AS weight FROM tu GROUP BY c, s)"
 
 
-def _relationships(spark, d: str) -> DataFrame:
-    return graph.rollup_relationships(G.raw_relationships(spark, d)).select("source", "target", "relationship_type", "weight", F.size("text_unit_ids").cast("long").alias("n_tu"), "observed_at", "confidence")
+def _relationships(spark, d: str, units: bool = False) -> DataFrame:
+    return graph.rollup_relationships(G.raw_relationships(spark, d), units)
 
 
 def _trade(spark, d: str) -> DataFrame:
@@ -79,17 +82,17 @@ def list_categories(spark, d):
 
 @query(with_sql("tu", "re") + "SELECT name, min(type) AS type, count(DISTINCT tu) AS n_tu, count(DISTINCT doc) AS n_doc, max(observed_at) AS observed_at, min(confidence) AS confidence, arg_min(source, tu) AS source FROM re GROUP BY name")
 def entity_rollup(spark, d):
-    return graph.rollup_entities(G.raw_entities(spark, d)).select("name", "type", F.size("text_unit_ids").cast("long").alias("n_tu"), F.size("document_ids").cast("long").alias("n_doc"), "observed_at", "confidence", "source")
+    return graph.rollup_entities(G.raw_entities(spark, d))
 
 
 @query(with_sql("tu", "rr") + f", {_REL} SELECT * REPLACE (round(weight, 6) AS weight) FROM rl")
 def relationship_rollup(spark, d):
-    return _relationships(spark, d).withColumn("weight", F.round("weight", 6))
+    return _relationships(spark, d, units=True).withColumn("weight", F.round("weight", 6))
 
 
 @query(with_sql("tu", "rr") + f", {_REL}, {_BOTH}, {_DEG} SELECT source, target, relationship_type, x.degree AS source_degree, y.degree AS target_degree, x.degree + y.degree AS rank FROM rl JOIN dg x ON x.name = source JOIN dg y ON y.name = target")
 def degree_rank(spark, d):
-    return graph.rank_edges(_relationships(spark, d).select("source", "target", "relationship_type")).select("source", "target", "relationship_type", "source_degree", "target_degree", "rank")
+    return graph.rank_edges(materialise(_relationships(spark, d).select("source", "target", "relationship_type"), "relationships")).select("source", "target", "relationship_type", "source_degree", "target_degree", "rank")
 
 
 @query(with_sql("tu", "re") + "SELECT type, count(DISTINCT name) AS n FROM re GROUP BY type")
@@ -118,7 +121,7 @@ v AS (SELECT a, community, count(*) AS votes FROM n JOIN mb ON mb.name = b GROUP
 r AS (SELECT *, sum(votes) OVER (PARTITION BY a) AS neighbours, row_number() OVER (PARTITION BY a ORDER BY votes DESC, community DESC) AS k FROM v)
 SELECT a AS name, community, votes, CAST(neighbours AS BIGINT) AS neighbours, round(votes / neighbours, 6) AS ratio FROM r WHERE k = 1""")
 def membership_pull(spark, d):
-    return graph.pull(_trade(spark, d), _members(spark, d)).withColumn("ratio", F.round("ratio", 6))
+    return graph.pull(materialise(_trade(spark, d), "trade"), _members(spark, d)).withColumn("ratio", F.round("ratio", 6))
 
 
 @query(with_sql("tu", "fo") + f""", {_MEMBERS}, {_TRADE}, s AS (SELECT community, count(*) AS size FROM mb GROUP BY community),
@@ -181,7 +184,7 @@ def connected_components_of_similar(spark, d):
 
 @query(with_sql("tu", "rr") + f", {_REL}, {_BOTH}, {_DEG} SELECT (SELECT count(*) FROM dg) AS nodes, (SELECT count(*) FROM rl) AS edges, round(2.0 * (SELECT count(*) FROM rl) / ((SELECT count(*) FROM dg) * ((SELECT count(*) FROM dg) - 1)), 9) AS density, (SELECT max(degree) FROM dg) AS max_degree")
 def graph_summary(spark, d):
-    e = graph.simple_graph(_relationships(spark, d).select("source", "target", "weight"))
+    e = materialise(graph.simple_graph(_relationships(spark, d).select("source", "target", "weight")), "simple-graph")
     deg = graph.degrees(e).agg(F.count("*").alias("nodes"), (F.sum("degree") / 2).cast("long").alias("edges"), F.max("degree").alias("max_degree"))
     return deg.select("nodes", "edges", F.round(2.0 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)), 9).alias("density"), "max_degree")
 
@@ -195,20 +198,19 @@ def degree_centrality(spark, d):
 
 @query(with_sql("tu", "rr") + f", {_REL}, {_BOTH}, {_DEG}, t AS (SELECT name FROM dg ORDER BY degree DESC, name LIMIT 400) SELECT source, target, relationship_type, round(weight, 6) AS weight FROM rl WHERE source IN (FROM t) AND target IN (FROM t)")
 def induced_topn_subgraph(spark, d):
-    e = _relationships(spark, d)
+    e = materialise(_relationships(spark, d), "relationships")
     return maintain.induced_top(e, graph.degrees(e), 400).select("source", "target", "relationship_type", F.round("weight", 6).alias("weight"))
 
 
 def _halves(spark, d):
     raw = G.raw_entities(spark, d)
     old, new = raw.where("observed_at < '1998-01-01'"), raw.where("observed_at >= '1998-01-01'")
-    return graph.rollup_entities(old), graph.rollup_entities(new)
+    return graph.entity_units(old), graph.entity_units(new)
 
 
 @query(with_sql("tu", "re") + "SELECT name, min(type) AS type, count(DISTINCT tu) AS n_tu, max(observed_at) AS observed_at, min(confidence) AS confidence, coalesce(arg_min(source, tu) FILTER (observed_at < '1998-01-01'), arg_min(source, tu)) AS source FROM re GROUP BY name")
 def upsert_entities(spark, d):
-    out = maintain.upsert_entities(*_halves(spark, d))
-    return out.select("name", "type", F.size("text_unit_ids").cast("long").alias("n_tu"), "observed_at", "confidence", "source")
+    return maintain.upsert_entities(*_halves(spark, d))
 
 
 @query(with_sql("tu", "rr") + """, x AS (SELECT least(source, target) AS source, greatest(source, target) AS target, relationship_type, avg(weight) FILTER (observed_at < '1998-01-01') AS o, avg(weight) FILTER (observed_at >= '1998-01-01') AS n, max(observed_at) AS observed_at, min(confidence) AS confidence FROM rr GROUP BY 1, 2, 3)
@@ -235,9 +237,9 @@ def alias_rewrite_dedup(spark, d):
 
 
 def _export_tables(spark, d):
-    t = G.text_units(spark, d).groupBy("tu", F.col("doc").cast("string").alias("document_id")).agg(F.array_distinct(F.flatten(F.collect_list(F.array("c", "p", "s")))).alias("entity_ids")).withColumnRenamed("tu", "id")
+    t = G.text_units(spark, d).select(F.col("tu").alias("id"), F.col("doc").cast("string").alias("document_id"), F.array_distinct(F.array("c", "p", "s")).alias("entity_ids")).distinct()
     nodes = G.folders(spark, d).select(F.col("name").alias("title"), F.explode(F.array(F.struct(F.lit(0).alias("level"), F.split_part("category", F.lit("/"), F.lit(1)).alias("community")), F.struct(F.lit(1).alias("level"), F.col("category").alias("community")))).alias("x")).select("title", "x.*")
-    reports = G.table(spark, d, "nation").join(F.broadcast(G.table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat_ws("/", "r_name", "n_name").alias("community"), F.array("r_name", "n_name").alias("findings"))
+    reports = G.table(spark, d, "nation").join(G.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat_ws("/", "r_name", "n_name").alias("community"), F.array("r_name", "n_name").alias("findings"))
     return t, nodes, reports
 
 
@@ -352,9 +354,10 @@ def leiden_partition(spark, d):
     return communities.leiden_partition(pairs.select(F.col("a").cast("string").alias("source"), F.col("b").cast("string").alias("target"), F.col("score").alias("weight")))
 
 
-@query()
+@query(with_sql("tu", "fo") + f""", {_TRADE}, mb AS (SELECT name, category AS community FROM fo WHERE name LIKE 'S%'), v AS (SELECT source AS a, community, count(*) AS n FROM tr JOIN mb ON mb.name = target GROUP BY ALL)
+SELECT name, community FROM mb UNION ALL SELECT a, arg_max(community, (n, community)) FROM v GROUP BY a""")
 def label_propagation(spark, d):
-    return communities.label_propagation(_trade(spark, d), _members(spark, d).where(F.col("name").startswith("S")), cap=10_000)
+    return communities.label_propagation(_trade(spark, d), _members(spark, d).where(F.col("name").startswith("S")), cap=10_000_000)
 
 
 @query()
@@ -370,10 +373,14 @@ def recent_messages(spark, d):
     return G.table(spark, d, "events").withColumn("back", F.row_number().over(w)).where("back <= 5").select("user_id", "event_id", "back")
 
 
-@query("SELECT n_nationkey AS id, 2 AS tier FROM nation JOIN region ON n_regionkey = r_regionkey WHERE lower(n_name) LIKE '%nation_1%'")
+@query("""WITH x AS (SELECT n_nationkey AS id, lower(r_name) AS path, lower(n_name) AS title, 'maps/' || r_name || '/' || n_nationkey || '.md' AS mapped FROM nation JOIN region ON n_regionkey = r_regionkey),
+w AS (SELECT unnest(['7', 'Asia', 'Nation_1', 'maps/EUROPE', 'nowhere']) AS wanted), t AS (SELECT wanted, id, CASE WHEN CAST(id AS VARCHAR) = wanted THEN 0 WHEN contains(path, lower(wanted)) THEN 1 WHEN contains(title, lower(wanted)) THEN 2 WHEN contains(lower(mapped), lower(wanted)) THEN 3 END AS tier FROM x, w)
+SELECT wanted, id, tier FROM t WHERE tier IS NOT NULL QUALIFY tier = min(tier) OVER (PARTITION BY wanted)""")
 def document_resolution(spark, d):
-    docs = G.table(spark, d, "nation").join(F.broadcast(G.table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("id"), F.col("r_name").alias("path"), F.col("n_name").alias("title"))
-    return recall.resolve_documents(docs, "Nation_1").select("id", "tier")
+    docs = G.table(spark, d, "nation").join(G.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("id"), F.col("r_name").alias("path"), F.col("n_name").alias("title"))
+    mapping = docs.select("id", F.concat(F.lit("maps/"), "path", F.lit("/"), F.col("id").cast("string"), F.lit(".md")).alias("mapped"))
+    found = [recall.resolve_documents(docs, x, mapping=mapping).select(F.lit(x).alias("wanted"), "id", "tier") for x in ("7", "Asia", "Nation_1", "maps/EUROPE", "nowhere")]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query(with_sql("tu", "fo") + f", {_MEMBERS}, {_SEEDS} SELECT DISTINCT r_name || '/' || n_name AS community FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name || '/' || n_name IN (SELECT community FROM mb WHERE name IN (FROM sd))")
@@ -403,6 +410,14 @@ def largest_component(spark, d):
     return labels.join(F.broadcast(best), "component").select("node")
 
 
+@query("""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.35),
+r AS (SELECT a AS node, a AS c FROM p UNION SELECT p.b, r.c FROM r JOIN p ON r.node = p.a), k AS (SELECT node, min(c) AS component FROM r GROUP BY node),
+s AS (SELECT component, count(*) AS size FROM k GROUP BY component) SELECT count(*) AS components, max(size) AS largest FROM s""")
+def component_summary(spark, d):
+    return graph.component_summary(ranking.similar_pairs(G.table(spark, d, "embeddings"), 0.35).select(F.col("a").alias("source"), F.col("b").alias("target")))
+
+
 @query("SELECT 'orders' AS \"table\", count(*) AS rows, 6 AS columns FROM orders UNION ALL SELECT 'events', count(*), 6 FROM events UNION ALL SELECT 'nation', count(*), 3 FROM nation")
 def run_summary(spark, d):
     from sparkloom.operators.cache import run_summary as summary

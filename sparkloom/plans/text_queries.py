@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.operators import communities, context, graph, ranking
 from sparkloom.plans.registry import query
+from sparkloom.session import materialise
 from sparkloom.sources import graph_tables as G
 
 _VEC = "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT e AS q FROM v ORDER BY vec_id LIMIT 1) "
@@ -53,7 +54,9 @@ def centroid_distances(spark, d):
     return a.join(b, "i").where("a < b").groupBy("a", "b").agg(F.round(F.sqrt(F.sum((F.col("xa") - F.col("xb")) ** 2)), 6).alias("dist"))
 
 
-@query()
+@query(_VEC.replace("WITH v", "WITH RECURSIVE v") + f""", {_CENTROID}, p AS MATERIALIZED (SELECT a.label AS a, b.label AS b FROM c a JOIN c b ON a.i = b.i AND a.label <> b.label GROUP BY 1, 2 HAVING round(sqrt(sum((a.x - b.x) ** 2)), 6) <= 0.25),
+r AS (SELECT a AS node, least(a, b) AS c FROM p UNION SELECT p.b, r.c FROM r JOIN p ON r.node = p.a), k AS (SELECT node, min(c) AS component FROM r GROUP BY node)
+SELECT label AS community, coalesce('merged-' || component, 'misc') AS merged FROM (SELECT DISTINCT label FROM v) LEFT JOIN k ON node = label""")
 def small_community_merge(spark, d):
     pairs = centroid_distances(spark, d).where("dist <= 0.25")
     return communities.merge_small(pairs, G.table(spark, d, "embeddings").select(F.col("label").alias("community")).distinct())
@@ -90,8 +93,8 @@ def _cosines(spark, d) -> DataFrame:
     return G.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", ranking.cosine(F.col("embedding"), q).alias("cos"))
 
 
-def _hybrid(spark, d) -> DataFrame:
-    both = _bm25(spark, d).join(_cosines(spark, d).select("id", "cos"), "id", "full_outer").select("id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("cos", F.lit(0.0)).alias("cos"))
+def _hybrid(spark, d, bm25: DataFrame | None = None) -> DataFrame:
+    both = (bm25 or _bm25(spark, d)).join(_cosines(spark, d).select("id", "cos"), "id", "full_outer").select("id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("cos", F.lit(0.0)).alias("cos"))
     return ranking.normalised(both, "bm25", "cos").select("id", (F.col("bm25") + F.col("cos")).alias("score"))
 
 
@@ -116,7 +119,9 @@ def _lists(spark, d) -> DataFrame:
     def top(df: DataFrame, path: str, by: str) -> DataFrame:
         return ranking.ranked(df.select("id", F.round(by, 9).alias("score")), "score", keep=50).withColumn("path", F.lit(path))
 
-    return top(_bm25(spark, d), "bm25", "bm25").unionByName(top(_cosines(spark, d), "cosine", "cos")).unionByName(top(_hybrid(spark, d), "hybrid", "score"))
+    bm25 = materialise(_bm25(spark, d), "bm25-scores")
+    lists = top(bm25, "bm25", "bm25").unionByName(top(_cosines(spark, d), "cosine", "cos")).unionByName(top(_hybrid(spark, d, bm25), "hybrid", "score"))
+    return materialise(lists, "ranked-lists")
 
 
 @query(_RRF + "SELECT id, round(sum(1 / (60 + rank + 1)), 9) AS score FROM li GROUP BY id")
@@ -217,7 +222,7 @@ def data_types(spark, d):
 
 @query("SELECT n_nationkey AS id, kind, name, type, source, target, weight FROM (SELECT n_nationkey, 'entity' AS kind, upper(n_name) AS name, 'NATION' AS type, NULL AS source, NULL AS target, NULL::DOUBLE AS weight FROM nation UNION ALL SELECT n_nationkey, 'relationship', NULL, 'LIES_IN', least(upper(n_name), upper(r_name)), greatest(upper(n_name), upper(r_name)), CASE WHEN n_nationkey % 2 = 0 THEN 2.5 ELSE 1.0 END FROM nation JOIN region ON n_regionkey = r_regionkey)")
 def parse_extraction_records(spark, d):
-    n = G.table(spark, d, "nation").join(F.broadcast(G.table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = G.table(spark, d, "nation").join(G.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     weight = F.when(F.col("n_nationkey") % 2 == 0, "2.5").otherwise("often")
     reply = F.format_string('noise<extracted_data>("entity"<|>%s<|>nation<|>A nation<|>where?;who?)##("relationship"<|>%s<|>%s<|>lies in<|>It lies there<|>%s)</extracted_data>tail', F.lower("n_name"), "n_name", "r_name", weight)
     return graph.parse_records(n.select("n_nationkey", reply.alias("reply")), "reply", "n_nationkey").select("id", "kind", "name", "type", "source", "target", "weight")

@@ -46,7 +46,7 @@ def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", F.concat_ws("/", "r_name", "n_name").alias("category"))
     c = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("name"), F.lit("CUSTOMER").alias("type"), F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("value"), F.col("c_mktsegment").alias("tag"))
     s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("name"), F.lit("SUPPLIER").alias("type"), F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("value"), F.lit(None).cast("string").alias("tag"))
-    return c.unionByName(s).join(F.broadcast(places), F.col("k") == F.col("n_nationkey")).select("name", "type", "category", "value", "tag")
+    return c.unionByName(s).join(places, F.col("k") == F.col("n_nationkey")).select("name", "type", "category", "value", "tag")
 
 
 #: The same model for the oracle.

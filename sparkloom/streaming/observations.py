@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sparkloom.operators.maintain import upsert_entities
+from sparkloom.operators.graph import entity_units
+from sparkloom.operators.maintain import merge_units
 
 
 def observations(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 64) -> DataFrame:
@@ -55,13 +56,33 @@ def last_folder(events: DataFrame) -> DataFrame:
 
 
 def upsert_stream(events: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Merge each batch of (name, type, text_unit_ids, observed_at, confidence, source) into a versioned table; the version is the batch id, so
-    a batch that is run again overwrites only itself."""
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id:
-            batch = upsert_entities(spark.read.parquet(f"{root}/v={batch_id - 1}"), batch)
-        batch.write.mode("overwrite").parquet(f"{root}/v={batch_id}")
-
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Each batch of mentions (name, tu, type, observed_at, confidence, source) is rolled up and written below root as a folder of its own, so a batch
+    that is run again overwrites only itself and nothing that is there is read or written. `upserted` merges what there is."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        entity_units(batch).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upserted(spark: SparkSession, root: str) -> DataFrame:
+    """The entities of all batches; where two disagree the older batch is right."""
+    return merge_units(spark.read.option("basePath", root).parquet(f"{root}/batch=*").withColumnRenamed("batch", "__side"))
+
+
+def compact(spark: SparkSession, root: str, last: int) -> None:
+    """Writes the units of the batches up to `last` as one, then removes the others. Call it between runs of the stream. Until the old folders are gone a
+    reader sees units twice, which changes no result."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(root))]
+    old = sorted(int(n[6:]) for n in names if n.startswith("batch=") and int(n[6:]) <= last)
+    if len(old) < 2:
+        return
+    units = spark.read.option("basePath", root).parquet(*[f"{root}/batch={k}" for k in old]).withColumnRenamed("batch", "__side")
+    best = units.groupBy("name", "tu").agg(F.min(F.struct("__side", "type", "source")).alias("s"), F.max("observed_at").alias("observed_at"), F.min("confidence").alias("confidence"))
+    best.select("name", "tu", "s.type", "observed_at", "confidence", "s.source").write.parquet(f"{root}/_compact")
+    fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/batch={old[0]}"), True)
+    fs.rename(jvm.org.apache.hadoop.fs.Path(f"{root}/_compact"), jvm.org.apache.hadoop.fs.Path(f"{root}/batch={old[0]}"))
+    for k in old[1:]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/batch={k}"), True)

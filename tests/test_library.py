@@ -89,7 +89,7 @@ def test_ranking(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "a a c"), (3, None)], "doc_id int, text string")
     q = spark.createDataFrame([("a",)], "word string")
     assert {r["id"] for r in ranking.bm25(docs, q).collect()} == {1, 2}
-    pairs = {(r["a"], r["b"]) for r in ranking.similar_pairs(v, 0.7, blocks=3).collect()}
+    pairs = {(r["a"], r["b"]) for r in ranking.similar_pairs(v, 0.7, block_rows=1).collect()}
     assert pairs == {(1, 3), (2, 3)}
 
 
