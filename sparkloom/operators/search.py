@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import count_tokens, words
 from sparkloom.operators import context, ranking
+from sparkloom.operators.linking import surviving_communities
 from sparkloom.operators.recall import RecallFilter, network_edges, relationships_within
 
 Model = Callable[[str], str]
@@ -135,11 +136,20 @@ def document_search(a: Artifacts, document_ids: list[str], query: str, model: Mo
     return _finish(tables, query, model)
 
 
-def global_search(a: Artifacts, query: str, model: Model, budget: int = 8000, top: int = 20) -> Result:
-    """Reports are packed into chunks; the model rates points of each chunk in the executors (`score<TAB>point` per line), the best points
-    are answered from."""
-    sized = a.reports.withColumn("cost", count_tokens("full_content")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(32)))
-    chunks = context.greedy_batches(sized, "cost", budget, 10_000, ["id"], ["part"]).join(a.reports.select("id", "full_content"), "id").groupBy("part", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "full_content"))), lambda x: x["full_content"]), "\n").alias("text"))
+def global_search(a: Artifacts, query: str, model: Model, budget: int = 8000, top: int = 20, f: RecallFilter | None = None) -> Result:
+    """Reports that fit into the budget together are answered from at once. More are packed into chunks; the model rates points of each chunk in the
+    executors (`score<TAB>point` per line), the best points are answered from. A filter leaves the reports of communities with a surviving entity."""
+    reports = a.reports
+    if f is not None and not f.is_empty:
+        kept = surviving_communities(a.nodes.select(F.col("title").alias("name"), "community"), filtered(a, f).entities)
+        reports = reports.join(kept, "community", "left_semi")
+    costs = reports.select("id", count_tokens("full_content").alias("cost"))
+    total = costs.agg(F.sum("cost")).first()[0] or 0
+    if total <= budget:
+        text = "\n".join(r["full_content"] for r in reports.select("id", "full_content").orderBy("id").collect())
+        return Result({"Reports": reports}, text, model(f"{text}\n\n{query}"))
+    sized = costs.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(1 + total // (64 * budget))))
+    chunks = context.greedy_batches(sized, "cost", budget, 10_000, ["id"], ["part"]).join(reports.select("id", "full_content"), "id").groupBy("part", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "full_content"))), lambda x: x["full_content"]), "\n").alias("text"))
 
     def rate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

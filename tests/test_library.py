@@ -199,7 +199,14 @@ def test_search_modes(spark):
     scores = spark.createDataFrame([("t1", 0.1), ("t2", 0.9)], "id string, cos double")
     assert "nothing here" in search.cascade_search(a, "alice", [1.0, 0.0], scores, rescue=1, k=1).text
     assert "nothing" not in search.document_search(a, ["d1"], "?").text
-    assert search.global_search(a, "?", model=lambda p: "3\tpoint").text == "point"
+    assert search.global_search(a, "?", model=lambda p: "3\tpoint").text == "Full report"
+    assert search.global_search(a, "?", model=lambda p: "3\tpoint", budget=1).text == "point"
+    assert search.global_search(a, "?", model=lambda p: p, f=recall.RecallFilter(names=["acme"])).text == ""
+    assert search.global_search(a, "?", model=lambda p: p, f=recall.RecallFilter(names=["alice"])).text == "Full report"
+    from sparkloom.operators import export
+
+    sent = export.graph_database_statements(spark.range(1200).select(F.lit("entity").alias("kind"), "id", F.lit("T").alias("type")).coalesce(1)).collect()
+    assert sorted(r["rows"].count('"type"') for r in sent) == [200, 500, 500]
     got = search.recall(a, recall.RecallFilter(category="work/**")).tables
     assert got["text_units"].count() == 1 and got["documents"].count() == 1
 
