@@ -46,7 +46,7 @@ class WordCachedTokenizer:
     of a word being the byte 255, which UTF-8 doesn't use. As every token has one merge only (checked on loading), taking the adjacent pair
     of least rank is what the tokenizer does. All other words, and all where the file isn't of this kind, go through the tokenizer itself."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known, self.piece = Tokenizer.from_file(path), most, {}, None
@@ -80,7 +80,7 @@ class WordCachedTokenizer:
         lo = 0
         while lo < len(texts):
             hi, size = lo, 0
-            while hi < len(texts) and size < 4 << 20:
+            while hi < len(texts) and size < 1 << 20:
                 size += len(texts[hi])
                 hi += 1
             yield from self._group([t.lower().split() if _SPECIAL not in t else t.split() for t in texts[lo:hi]])
@@ -142,7 +142,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = WordCachedTokenizer(tokenizer_path)
-        for b in (whole.slice(lo, 1000) for whole in batches for lo in range(0, max(whole.num_rows, 1), 1000)):
+        for b in (whole.slice(lo, 500) for whole in batches for lo in range(0, max(whole.num_rows, 1), 500)):
             texts = [t or b"" for t in b.column(1).cast(pa.large_binary()).to_pylist()]
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, x in enumerate(tok.encode(texts)):
