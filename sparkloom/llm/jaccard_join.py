@@ -8,9 +8,11 @@ Two documents link when |A and B| * den >= num * |A or B| for their sets of word
    only counted. A pair of sets that link shares the first `SHARED` of its common n-grams within prefixes that both sizes
    determine, so an entry's position bounds the sizes of its partners. A list is sorted by size: from an entry, only the run of
    sizes within its own bound is looked at, and of that run whole blocks are skipped whose entries' positions don't reach the
-   entry's size. A list of more than 2**`LIST_BITS` documents is cut into cells, which are lists of their own.
+   entry's size, or that are all of its group. A list of more than 2**`LIST_BITS` documents is cut into cells, which are lists of their own.
 3. Answers are derived from those of a similar set: sets with the same two least hashes form a group, whose pairs the lists
-   leave out. In a group one set is the hub; with r(A) = 8 |hub minus A| + 3 |A|, A and B surely link where r(A) + r(B) <= 8 |hub|
+   leave out. Near copies that differ in these would leave a large family to the lists, pair by pair; so a set has `KEYS` more
+   keys, of three least hashes each, and sets of which `_FAMILY` or more share a key go to the group of that family's most
+   frequent key instead (of the 100,000 most frequent ones). In a group one set is the hub; with r(A) = 8 |hub minus A| + 3 |A|, A and B surely link where r(A) + r(B) <= 8 |hub|
    (in units of the 60 % threshold), so a set's links are counted by a search in the sorted r, without visiting the pairs.
    Of the pairs that this leaves open, those that their differences to the hub allow are intersected, one set with all its open
    partners at once. A group of more than 2**`GROUP_BITS` sets is cut into chunks; each pair of chunks is a cell with a hub of its own.
@@ -57,6 +59,8 @@ _COUNTED = 34
 LIST_BITS, GROUP_BITS = 13, 11
 _BLOCK = 64
 _GROUP_SLOTS = 22
+KEYS, _FAMILY, _FAMILIES = 8, 32, 100_000
+_FACTORS = np.random.default_rng(43).integers(0, 1 << 63, (KEYS, 3), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -85,6 +89,49 @@ def signatures(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     return W.mix((total[at[1:]] - total[at[:-1]]) + np.diff(at).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def family_keys(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """`KEYS` columns of 64-bit keys: each of the least hashes of a row's set in three orders. Rows without n-grams have 0."""
+    out, has = np.zeros((len(at) - 1, KEYS), np.uint64), np.flatnonzero(np.diff(at))
+    if len(has):
+        for k in range(KEYS):
+            for f in _FACTORS[k]:
+                out[has, k] = W.mix(out[has, k] + np.minimum.reduceat(s * f, at[has]))
+    return out
+
+
+def _families(keyed: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that `_FAMILY` different sets or more share, ascending, and for each the most frequent key of the sets that have it."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, s, at in shingle_sets(batch.column("__text"), n):
+                has = np.diff(at) > 0
+                keys = family_keys(s, at)[has].view(np.int64)
+                keys = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * KEYS, pa.array(keys.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array(signatures(s, at)[has].view(np.int64)), keys], names=["sig", "keys"])
+
+    sets = materialise(keyed.select("__text").mapInArrow(W.tidy(scan), "sig long, keys array<long>").dropDuplicates(["sig"]), "jaccard-keys")
+    each = sets.select("sig", F.explode("keys").alias("key"))
+    hot = materialise(each.groupBy("key").count().where(F.col("count") >= _FAMILY).orderBy(F.desc("count"), "key").limit(_FAMILIES), "jaccard-families")
+    own = materialise(each.join(F.broadcast(hot), "key"), "jaccard-members")
+    best = own.groupBy("sig").agg(F.max(F.struct("count", "key")).alias("best"))
+    found = own.join(best, "sig").groupBy("key").agg(F.max("best").alias("best")).select("key", "best.key").toDF("key", "home").collect()
+    key, home = (np.array([r[c] for r in found], np.int64).view(np.uint64) for c in ("key", "home"))
+    order = np.argsort(key)
+    return key[order], home[order]
+
+
+def _homes(s: np.ndarray, at: np.ndarray, group: np.ndarray, families: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rows' groups, where a row has keys of families the group of the family."""
+    key, home = families
+    if not len(key):
+        return group
+    keys = family_keys(s, at)
+    place = np.minimum(np.searchsorted(key, keys), len(key) - 1)
+    best = np.where(key[place] == keys, home[place], np.uint64(0)).max(axis=1)
+    return np.where(best > 0, W.mix(best), group)
+
+
 def _sorted_block(ones: np.ndarray, many: np.ndarray, counts: np.ndarray) -> bytes:
     """Ascending values that occur once as differences in byte planes, the sparse upper planes compressed; then those with counts."""
     d = np.diff(ones, prepend=np.zeros(1, "<u4")).astype("<u4").view(np.uint8).reshape(-1, 4).T
@@ -177,7 +224,7 @@ def _summed(v: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return v[first], first, np.add.reduceat(c, first) if len(first) else c
 
 
-def _ranked(s: np.ndarray, at: np.ndarray, seen: np.ndarray, grades: np.ndarray, slot_bits: int, common: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _ranked(s: np.ndarray, at: np.ndarray, seen: np.ndarray, grades: np.ndarray, families: tuple[np.ndarray, np.ndarray], slot_bits: int, common: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each row's n-grams that occur elsewhere, rare first: 43-bit keys and positions within the whole set; and the rows' group keys."""
     row = np.repeat(np.arange(len(at) - 1, dtype=np.uint64), np.diff(at))
     there = B.test_bits(seen, (s >> np.uint64(48 - slot_bits)).astype(np.int64))
@@ -199,7 +246,7 @@ def _ranked(s: np.ndarray, at: np.ndarray, seen: np.ndarray, grades: np.ndarray,
     group[has] = W.mix(x[first[:-1][has]])
     two = np.diff(first) > 1
     group[two] = W.mix(group[two] + x[first[:-1][two] + 1])
-    return key, pos, group >> np.uint64(32)
+    return key, pos, _homes(s, at, group, families) >> np.uint64(32)
 
 
 def _packed(s: np.ndarray) -> bytes:
@@ -228,7 +275,7 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _list_pairs(rec: np.ndarray, num: int, den: int, most: int = 500_000) -> Iterator[np.ndarray]:
     """Pairs of entries of one list whose sizes and positions allow a link, and that are of different groups. The upper two bits of a position
     tell a cell's two sides apart."""
-    order = np.lexsort((rec["pos"], rec["sig"], rec["n"], rec["e"]))
+    order = np.lexsort((rec["pos"], rec["sig"], rec["g"], rec["n"], rec["e"]))
     rec = rec[order]
     if len(rec):
         new = np.ones(len(rec), bool)
@@ -244,7 +291,7 @@ def _list_pairs(rec: np.ndarray, num: int, den: int, most: int = 500_000) -> Ite
     lists = np.concatenate([[0], np.cumsum(rec["e"][1:] != rec["e"][:-1])])
     key = lists * (int(n.max()) + 1) + n
     end = np.searchsorted(key, lists * (int(n.max()) + 1) + np.minimum(top, n.max()), side="right")
-    blocks = np.maximum.reduceat(reach, np.arange(0, count, _BLOCK))
+    blocks, least, most_g = (f.reduceat(x, np.arange(0, count, _BLOCK)) for f, x in ((np.maximum, reach), (np.minimum, g), (np.maximum, g)))
     start = np.flatnonzero(end > np.arange(count) + 1)
     run = end[start] - start - 1
     # at most `most` pairs, or blocks, or one entry's, at a time
@@ -256,7 +303,8 @@ def _list_pairs(rec: np.ndarray, num: int, den: int, most: int = 500_000) -> Ite
         far = own[far]
         if len(far):
             k, block = _ranges((far + 1) // _BLOCK, (end[far] - 1) // _BLOCK + 1)
-            ok = blocks[block] >= n[far[k]]
+            own_g = g[far[k]]
+            ok = (blocks[block] >= n[far[k]]) & ((least[block] != own_g) | (most_g[block] != own_g))
             i, block = far[k[ok]], block[ok]
             for x in range(0, len(i), most // _BLOCK):
                 y = slice(x, x + most // _BLOCK)
@@ -291,12 +339,12 @@ def _candidates(keyed: DataFrame, tables, n: int, num: int, den: int, slot_bits:
     """(documents: __id, __hash, n, sig, g) and (pairs of different groups: a, b, ga, gb)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, grades = tables.value
+        seen, grades, families = tables.value
         done: set[int] = set()
         for batch in batches:
             for lo, hi, s, at in shingle_sets(batch.column("__text"), n):
                 size, sig = np.diff(at), signatures(s, at)
-                key, pos, group = _ranked(s, at, seen, grades, slot_bits, common)
+                key, pos, group = _ranked(s, at, seen, grades, families, slot_bits, common)
                 fresh = np.zeros(hi - lo, bool)
                 for r, x in enumerate(sig.tolist()):
                     if x not in done:
@@ -324,8 +372,10 @@ def _candidates(keyed: DataFrame, tables, n: int, num: int, den: int, slot_bits:
                 if y is not None:
                     ids = np.frombuffer(y, "<i8").reshape(5, -1)
                     yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in ids), pa.nulls(ids.shape[1], pa.int32()), pa.nulls(ids.shape[1], pa.binary())], names=["__id", "__hash", "n", "sig", "g", "bucket", "data"])
+        rec = np.concatenate(parts) if parts else np.zeros(0, _ENTRY)
+        parts.clear()
         held, size = [], 0
-        for out in _list_pairs(np.concatenate(parts) if parts else np.zeros(0, _ENTRY), num, den):
+        for out in _list_pairs(rec, num, den):
             held.append(out)
             size += len(out)
             if size > 1_000_000:
@@ -578,10 +628,10 @@ def _links(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, tables, n: in
 
     def own_sets(batches: Iterator[pa.RecordBatch], sent: Callable) -> Iterator[pa.RecordBatch]:
         """One call of sent(set, group, packed n-grams) for each set that a task meets."""
-        (seen, grades), done = tables.value, set()
+        (seen, grades, families), done = tables.value, set()
         for batch in batches:
             for _, _, s, at in shingle_sets(batch.column("__text"), n):
-                sig, (_, _, group) = signatures(s, at).view(np.int64), _ranked(s, at, seen, grades, slot_bits, common)
+                sig, (_, _, group) = signatures(s, at).view(np.int64), _ranked(s, at, seen, grades, families, slot_bits, common)
                 out = []
                 for x, g, i, j in zip(sig.tolist(), group.tolist(), at, at[1:], strict=False):
                     if i < j and x not in done:
@@ -660,7 +710,7 @@ def _solved(docs: DataFrame, id_col: str, text_col: str, n: int = 2, num: int =
     buckets = shuffle_partitions(spark)
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("__id"), text_hash(text_col).alias("__hash"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     common = max(6, int(np.log2(max(1, docs.count()) / 256)))
-    tables = spark.sparkContext.broadcast(_frequency_tables(keyed, n, slot_bits, buckets))
+    tables = spark.sparkContext.broadcast((*_frequency_tables(keyed, n, slot_bits, buckets), _families(keyed, n)))
     facts, pairs = _candidates(keyed, tables, n, num, den, slot_bits, common, buckets)
     row = F.struct(F.col("__id"), F.col("__hash"))
     classes = materialise(facts.where("n > 0").groupBy("sig").agg(F.min(row).alias("rep"), F.count("*").alias("members"), F.min("g").alias("g")), "jaccard-classes")

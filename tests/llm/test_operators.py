@@ -142,6 +142,42 @@ def test_jaccard_families(spark):
     assert {i: r["n_similar"] for i, r in by_id(jaccard_join.jaccard_links(d)).items()} == want
 
 
+def test_jaccard_pairs_of_a_family_stay_in_its_group(spark, monkeypatch):
+    """The pairs of a large family aren't left to the lists because its members differ in their least hashes; links equal brute force."""
+    rng = random.Random(11)
+    base, texts = [f"f{i}" for i in range(120)], []
+    for _ in range(300):
+        v = list(base)
+        for _ in range(rng.randint(0, 9)):
+            v[rng.randrange(120)] = f"m{rng.randrange(10**6)}"
+        texts.append(" ".join(v))
+    sets = dict(enumerate(map(shingles, texts)))
+    rows, plain = {}, jaccard_join.materialise
+
+    def counted(df, name):
+        out = plain(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", counted)
+    got = by_id(jaccard_join.jaccard_links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)))
+    assert {i: r["n_similar"] for i, r in got.items()} == {a: sum(100 * len(x & y) >= 60 * len(x | y) for b, y in sets.items() if b != a) for a, x in sets.items()}
+    assert rows["jaccard-pairs"] < 3 * len(texts)
+
+
+def test_jaccard_lists_skip_blocks_of_one_group():
+    """Of a list that a family fills only the pairs with other groups are looked at."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rec = entries(rng, 1, 40_000, (390, 400))
+    rec["pos"], rec["g"] = 3, 9
+    rec["g"][:2] = 5
+    begun = time.process_time()
+    found = sum(len(x) for x in jaccard_join._list_pairs(rec, 60, 100))
+    assert found == 2 * 39_998 and time.process_time() - begun < 4
+
+
 def test_jaccard_of_repeated_ids(spark, odd):
     """Rows of one id are documents of their own, with links and components of their own."""
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
