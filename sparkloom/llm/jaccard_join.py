@@ -272,9 +272,21 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k, np.arange(len(k)) - np.repeat(np.cumsum(size) - size, size) + lo[k]
 
 
-def _list_pairs(rec: np.ndarray, num: int, den: int, most: int = 500_000) -> Iterator[np.ndarray]:
+def _list_pairs(rec: np.ndarray, num: int, den: int, most: int = 500_000, entries: int = 200_000) -> Iterator[np.ndarray]:
     """Pairs of entries of one list whose sizes and positions allow a link, and that are of different groups. The upper two bits of a position
-    tell a cell's two sides apart."""
+    tell a cell's two sides apart. Lists of about `entries` entries in all are looked at together, so that memory doesn't grow with a bucket."""
+    if not len(rec):
+        return
+    order = np.argsort(rec["e"], kind="stable")
+    e = rec["e"][order]
+    starts = np.concatenate([[0], np.flatnonzero(e[1:] != e[:-1]) + 1])
+    del e
+    edge = starts[np.flatnonzero(np.diff(starts // entries, prepend=-1))]
+    for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(rec)], strict=True):
+        yield from _pairs_of_lists(rec[order[lo:hi]], num, den, most)
+
+
+def _pairs_of_lists(rec: np.ndarray, num: int, den: int, most: int) -> Iterator[np.ndarray]:
     order = np.lexsort((rec["pos"], rec["sig"], rec["g"], rec["n"], rec["e"]))
     rec = rec[order]
     if len(rec):

@@ -178,6 +178,26 @@ def test_jaccard_lists_skip_blocks_of_one_group():
     assert found == 2 * 39_998 and time.process_time() - begun < 4
 
 
+def test_jaccard_lists_take_bounded_memory():
+    """Short lists of many entries in all take few bytes an entry besides the entries themselves, and lose no pair."""
+    import tracemalloc
+
+    import numpy as np
+
+    rec = entries(np.random.default_rng(8), 300_000, 5, (40, 50))
+    rec["g"] = np.arange(len(rec)) % 4
+    few = entries(np.random.default_rng(9), 50, 20, (10, 40))
+    pairs = lambda **options: sorted(tuple(p) for out in jaccard_join._list_pairs(few, 60, 100, **options) for p in out.tolist())
+    tracemalloc.start()
+    for _ in jaccard_join._list_pairs(rec, 60, 100):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * len(rec)
+    assert pairs(entries=30) == pairs(entries=1) == pairs()
+    assert not list(jaccard_join._list_pairs(rec[:0], 60, 100))
+
+
 def test_jaccard_of_repeated_ids(spark, odd):
     """Rows of one id are documents of their own, with links and components of their own."""
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
