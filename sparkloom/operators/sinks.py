@@ -89,15 +89,24 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def graph_payload(entities: DataFrame, edges: DataFrame, most: int = 5000) -> dict:
-    """Nodes and edges for a viewer: the subgraph of the `most` nodes of largest degree, sizes by the logarithm of the degree. A view of a large graph
-    has to be a part of it; `total` says how many nodes there are."""
+def payload_tables(entities: DataFrame, edges: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, type, degree, size: the logarithm of the degree) and links (source, target) for a viewer, each once: of the whole graph, or of its
+    `most` nodes of largest degree."""
     degree = degrees(edges)
-    kept = induced_top(edges, degree, most)
-    top = degree.orderBy(F.desc("degree"), "name").limit(most).join(entities.select("name", "type"), "name", "left")
-    nodes = [{"id": r["name"], "type": r["type"], "degree": r["degree"], "size": round(r["size"], 3)} for r in top.withColumn("size", F.log1p("degree")).orderBy(F.desc("degree"), "name").collect()]
-    links = [r.asDict() for r in kept.select("source", "target").distinct().orderBy("source", "target").limit(20 * most).collect()]
-    return {"nodes": nodes, "edges": links, "total": degree.count()}
+    top = degree if most is None else degree.orderBy(F.desc("degree"), "name").limit(most)
+    types = entities.groupBy("name").agg(F.min("type").alias("type"))
+    nodes = top.join(types, "name", "left").select(F.col("name").alias("id"), "type", "degree", F.log1p("degree").alias("size"))
+    kept = edges if most is None else induced_top(edges, degree, most)
+    return nodes, kept.select("source", "target").distinct()
+
+
+def graph_payload(entities: DataFrame, edges: DataFrame, most: int = 5000) -> dict:
+    """Nodes and edges for a viewer, as one file: the subgraph of the `most` nodes of largest degree. A view of a large graph has to be a part of it;
+    `total` says how many nodes there are. `payload_tables` has all of them."""
+    nodes, kept = payload_tables(entities, edges, most)
+    own = [r.asDict() | {"size": round(r["size"], 3)} for r in nodes.orderBy(F.desc("degree"), "id").collect()]
+    links = [r.asDict() for r in kept.orderBy("source", "target").limit(20 * most).collect()]
+    return {"nodes": own, "edges": links, "total": degrees(edges).count()}
 
 
 def graph_page(payload: dict, title: str = "Graph") -> str:
